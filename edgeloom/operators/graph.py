@@ -36,7 +36,7 @@ def bfs(edges: DataFrame, root: int) -> DataFrame:
     while True:
         depth += 1
         step = front.select(F.col("vertex").alias("src")).join(edges, "src").groupBy("dst").agg(F.min("src").alias("parent"))
-        front = step.join(seen.select(F.col("vertex").alias("dst")), "dst", "left_anti").select(F.col("dst").alias("vertex"), F.lit(depth).alias("depth"), "parent").persist()
+        front = _cut(step.join(seen.select(F.col("vertex").alias("dst")), "dst", "left_anti").select(F.col("dst").alias("vertex"), F.lit(depth).alias("depth"), "parent"))
         if not front.limit(1).count():
             edges.unpersist()
             return seen
