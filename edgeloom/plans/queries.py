@@ -50,3 +50,27 @@ ORACLE = {
     "light_heavy_split": f"{E} SELECT src, dst, w <= 0.1 AS light FROM e",
     "bfs_levels": f"{E}, {BFS} SELECT depth, count(*) AS frontier_size FROM l GROUP BY depth",
 }
+
+
+def _csr_entries(s, d):
+    from pyspark.sql import Window
+
+    return edges(s, d).select("src", F.row_number().over(Window.partitionBy("src").orderBy("dst")).cast("long").alias("slot"), "dst", "w")
+
+
+QUERIES |= {
+    "csr_entries": _csr_entries,
+    "adj_grid": lambda s, d: edges(s, d).groupBy(F.expr("src div 100").alias("row_bin"), F.expr("dst div 100").alias("col_bin")).agg(F.count(F.lit(1)).alias("cnt"), F.max("w").alias("max_w")),
+    "edge_head10": lambda s, d: edges(s, d).orderBy("src", "dst").limit(10),
+    "top10_degree": lambda s, d: g.out_degree(edges(s, d)).orderBy(F.desc("degree"), "vertex").limit(10),
+    "adj_binary": lambda s, d: edges(s, d).select("src", "dst", F.when(F.col("w") > 0, 1.0).otherwise(0.0).alias("present")),
+    "degree_histogram": lambda s, d: g.out_degree(edges(s, d)).groupBy("degree").agg(F.count(F.lit(1)).alias("vertices")),
+}
+ORACLE |= {
+    "csr_entries": f"{E} SELECT src, row_number() OVER (PARTITION BY src ORDER BY dst) AS slot, dst, w FROM e",
+    "adj_grid": f"{E} SELECT src // 100 AS row_bin, dst // 100 AS col_bin, count(*) AS cnt, max(w) AS max_w FROM e GROUP BY 1, 2",
+    "edge_head10": f"{E} SELECT src, dst, w FROM e ORDER BY src, dst LIMIT 10",
+    "top10_degree": f"{E}, {DEG} SELECT vertex, degree FROM deg ORDER BY degree DESC, vertex LIMIT 10",
+    "adj_binary": f"{E} SELECT src, dst, CASE WHEN w > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS present FROM e",
+    "degree_histogram": f"{E}, {DEG} SELECT degree, count(*) AS vertices FROM deg GROUP BY degree",
+}

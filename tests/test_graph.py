@@ -22,3 +22,10 @@ def test_levels_of_the_derived_graph(spark):
 def test_heavy_edges_are_relaxed(spark):
     e = g.post_process(spark.createDataFrame([(0, 1, 0.05), (0, 2, 0.5)], "src long, dst long, w double"))
     assert {r["vertex"]: r["dist"] for r in g.sssp(e, 0).collect()} == {0: 0.0, 1: 0.05, 2: 0.5}
+
+
+def test_scramble_merges_no_vertices(spark):
+    from edgeloom.operators.generate import scramble_bijective
+
+    for scale in (1, 4, 10):
+        assert scramble_bijective(spark, scale).select("scrambled").distinct().count() == 1 << scale
