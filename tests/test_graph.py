@@ -29,3 +29,8 @@ def test_scramble_merges_no_vertices(spark):
 
     for scale in (1, 4, 10):
         assert scramble_bijective(spark, scale).select("scrambled").distinct().count() == 1 << scale
+
+
+def test_distances_of_the_derived_graph(spark):
+    dist = [r["dist"] for r in QUERIES["sssp_dist"](spark, "/root/testdata/sf0.001").collect()]
+    assert len(dist) == 303 and round(max(dist), 6) == 1.128 and round(sum(dist) / 303, 6) == 0.416089
