@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from . import binout, chat, common as c, decontam
+from . import binout, chat, common as c, decontam, substrings, suffixes
+
+
+def op1(spark, d):
+    return substrings.dedup(c.table(spark, d, "documents")).selectExpr("doc_id", "n_units n_words", "n_removed", "kept_sha256")
+
+
+def op6(spark, d):
+    return suffixes.dedup(c.table(spark, d, "documents")).selectExpr("doc_id", "n_units n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op5(spark, d):
@@ -22,5 +30,5 @@ def op9(spark, d):
     return chat.read_back(chat.format(rows.unionByName(own)))
 
 
-QUERIES = {"op5_benchmark_decontamination": op5, "op7_token_binary": op7, "op9_chat_formatting": op9}
+QUERIES = {"op1_substring_dedup": op1, "op6_suffix_array_dedup": op6, "op5_benchmark_decontamination": op5, "op7_token_binary": op7, "op9_chat_formatting": op9}
 ORACLE: dict[str, str] = {}
