@@ -2,13 +2,35 @@
 
 from __future__ import annotations
 
-from . import binout, chat, common as c, decontam, substrings, suffixes
+from . import binout, chat, common as c, decontam, fingerprint, langid, license, near, pieces, substrings, suffixes
 
 
 def op1(spark, d):
     return substrings.dedup(c.table(spark, d, "documents")).selectExpr("doc_id", "n_units n_words", "n_removed", "kept_sha256")
 
 
+def op2(spark, d):
+    import public_tokenizers
+
+    return pieces.digest(pieces.encode(c.table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def op3(spark, d):
+    return fingerprint.fingerprints(c.table(spark, d, "documents"))
+
+
+def op4(spark, d):
+    return langid.identify(c.table(spark, d, "documents"))
+
+
+def op8(spark, d):
+    return license.scan(c.table(spark, d, "documents"))
+
+
+def op10(spark, d):
+    return near.near_duplicates(c.table(spark, d, "documents"))
+
+
 def op6(spark, d):
     return suffixes.dedup(c.table(spark, d, "documents")).selectExpr("doc_id", "n_units n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -30,5 +52,16 @@ def op9(spark, d):
     return chat.read_back(chat.format(rows.unionByName(own)))
 
 
-QUERIES = {"op1_substring_dedup": op1, "op6_suffix_array_dedup": op6, "op5_benchmark_decontamination": op5, "op7_token_binary": op7, "op9_chat_formatting": op9}
+QUERIES = {
+    "op1_substring_dedup": op1,
+    "op2_sentencepiece": op2,
+    "op3_document_fingerprints": op3,
+    "op4_language_id": op4,
+    "op5_benchmark_decontamination": op5,
+    "op6_suffix_array_dedup": op6,
+    "op7_token_binary": op7,
+    "op8_license_scans": op8,
+    "op9_chat_formatting": op9,
+    "op10_minhash_near_dedup": op10,
+}
 ORACLE: dict[str, str] = {}
