@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import binout, chat, common as c, decontam, fingerprint, langid, license, near, pieces, substrings, suffixes
+from .oracles import ORACLE  # noqa: F401
 
 
 def op1(spark, d):
@@ -64,4 +65,3 @@ QUERIES = {
     "op9_chat_formatting": op9,
     "op10_minhash_near_dedup": op10,
 }
-ORACLE: dict[str, str] = {}
