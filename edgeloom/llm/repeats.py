@@ -37,6 +37,17 @@ def marks(doc: np.ndarray, at: np.ndarray, count: np.ndarray, doc_bins: int) ->
     return rows_by_bin(1, c.bin_of(doc, doc_bins), doc.astype(np.int64), at.astype(np.int32), count.astype(np.int32))
 
 
+def key(groups: int):
+    """Where a row is dealt: blocks to compare (kind 0) by their bin; marks (kind 1) go along and are passed on."""
+    return F.expr(f"if(kind = 0, bin, bin % {groups})").alias("group")
+
+
+def settled(table: pa.Table) -> tuple[pa.Table, list[bytes]]:
+    """The marks of a group, as they came, and its blocks to compare."""
+    kinds = table["kind"].to_numpy()
+    return table.select(BLOCK.names).filter(pa.array(kinds == 1)).cast(BLOCK), table.filter(pa.array(kinds == 0))["block"].to_pylist()
+
+
 def later(values: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
     """True where the value stands at a smaller (doc, at) too."""
     order = np.lexsort((at, doc, values))

@@ -84,15 +84,17 @@ def marked(docs: DataFrame, window: int, doc_bins: int) -> DataFrame:
                 group[open_] = i * BUCKETS + b[open_]
             yield r.rows_by_bin(0, (t.mix(group.astype(np.uint64) + t.U(1)) % t.U(groups)).astype(np.int32), leaf, doc, word.astype(np.int32))
 
-    dealt = c.through_table(docs.mapInArrow(deal, r.BLOCK_DDL), "suffixes")
 
     def subtrees(table: pa.Table) -> pa.Table:
-        leaf, doc, word = (np.concatenate(x) for x in zip(*(c.unpack(b) for b in table["block"].to_pylist())))
+        table, blocks = r.settled(table)
+        if not blocks:
+            return table
+        leaf, doc, word = (np.concatenate(x) for x in zip(*map(c.unpack, blocks)))
         seen = r.later(leaf, doc, word)
-        return pa.Table.from_batches([r.marks(doc[seen], word[seen], np.ones(int(seen.sum()), np.int64), doc_bins)])
+        found = r.marks(doc[seen], word[seen], np.ones(int(seen.sum()), np.int64), doc_bins)
+        return pa.concat_tables([table, pa.Table.from_batches([found])])
 
-    found = dealt.where("kind = 0").groupBy("bin").applyInArrow(subtrees, r.BLOCK_DDL)
-    return found.unionByName(dealt.where("kind = 1"))
+    return docs.mapInArrow(deal, r.BLOCK_DDL).groupBy(r.key(groups)).applyInArrow(subtrees, r.BLOCK_DDL)
 
 
 def dedup(docs: DataFrame, window: int = 20) -> DataFrame:

@@ -67,10 +67,11 @@ def marked(docs: DataFrame, window: int, gram: int, bins: int) -> DataFrame:
                 block = c.pack(anchor[p], doc[p], begin[p].astype(np.int32), count[p].astype(np.uint8), data[spread_out(at[p], count[p] + window - 1)])
                 yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([target[part[0]]], pa.int32()), pa.array([block], pa.binary())], schema=r.BLOCK)
 
-    dealt = c.through_table(docs.mapInArrow(deal, r.BLOCK_DDL), "segments")
-
     def aligned(table: pa.Table) -> pa.Table:
-        anchor, doc, begin, count, data = (np.concatenate(x) for x in zip(*(c.unpack(b) for b in table["block"].to_pylist())))
+        table, blocks = r.settled(table)
+        if not blocks:
+            return table
+        anchor, doc, begin, count, data = (np.concatenate(x) for x in zip(*map(c.unpack, blocks)))
         begin, count = begin.astype(np.int64), count.astype(np.int64)
         where = np.concatenate([[0], np.cumsum(count + window - 1)[:-1]])
         order = np.argsort(anchor, kind="stable")
@@ -92,9 +93,9 @@ def marked(docs: DataFrame, window: int, gram: int, bins: int) -> DataFrame:
             place = begin[p][seg] + start - local[seg]
             seen = r.later(value, doc[p][seg], place)
             out.append(r.marks(doc[p][seg][seen], place[seen], np.ones(int(seen.sum()), np.int64), bins))
-        return pa.Table.from_batches(out, schema=r.BLOCK)
+        return pa.concat_tables([table, pa.Table.from_batches(out, schema=r.BLOCK)])
 
-    return dealt.where("kind = 0").groupBy("bin").applyInArrow(aligned, r.BLOCK_DDL).unionByName(dealt.where("kind = 1"))
+    return docs.mapInArrow(deal, r.BLOCK_DDL).groupBy(r.key(bins)).applyInArrow(aligned, r.BLOCK_DDL)
 
 
 def runs(keys: np.ndarray, weight: np.ndarray, most: int):
