@@ -46,8 +46,8 @@ def shingle_sets(data, offs, words):
             yield np.zeros(0, np.uint64)
 
 
-def sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n, two hashes of the set, and the set itself as bytes."""
+def set_keys(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, n and two hashes of each document's set."""
 
     def rows(batches):
         for batch, lo, hi, data, offs in c.text_slices(batches):
@@ -55,19 +55,19 @@ def sets(docs: DataFrame, words: int) -> DataFrame:
             n = pa.array([len(x) for x in got], pa.int64())
             one = pa.array([int(x.sum(dtype=np.uint64).view(np.int64)) for x in got], pa.int64())
             two = pa.array([int(t.mix(x ^ t.U(t.BASE)).sum(dtype=np.uint64).view(np.int64)) for x in got], pa.int64())
-            yield pa.RecordBatch.from_arrays([c.column(batch, "doc_id")[lo:hi], n, one, two, pa.array([x.tobytes() for x in got], pa.binary())], names=["doc_id", "n", "h1", "h2", "shingles"])
+            yield pa.RecordBatch.from_arrays([c.column(batch, "doc_id")[lo:hi], n, one, two], names=["doc_id", "n", "h1", "h2"])
 
-    return docs.mapInArrow(rows, "doc_id long, n long, h1 long, h2 long, shingles binary")
+    return docs.mapInArrow(rows, "doc_id long, n long, h1 long, h2 long")
 
 
-def crowded(reps: DataFrame) -> np.ndarray:
+def crowded(reps: DataFrame, words: int) -> np.ndarray:
     """How crowded each bucket of shingle hashes is: 0 up to 8 times the mean, then the power of two above it."""
 
     def count(batches):
         total = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            x, _ = c.utf8(c.column(batch, "shingles"))
-            total += np.bincount((np.frombuffer(x.tobytes(), np.uint64) >> t.U(44)).astype(np.int64), minlength=BUCKETS)
+        for _, _, _, data, offs in c.text_slices(batches):
+            x = np.concatenate(list(shingle_sets(data, offs, words)))
+            total += np.bincount((x >> t.U(44)).astype(np.int64), minlength=BUCKETS)
         for i, part in enumerate(np.split(total, SLABS)):
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([c.pack(part)], pa.binary())], names=["slab", "counts"])
 
@@ -76,7 +76,7 @@ def crowded(reps: DataFrame) -> np.ndarray:
         return pa.table({"slab": table["slab"][:1], "counts": pa.array([c.pack(total)], pa.binary())})
 
     total = np.zeros((SLABS, BUCKETS // SLABS), np.int64)
-    for r in reps.select("shingles").mapInArrow(count, "slab int, counts binary").groupBy("slab").applyInArrow(add, "slab int, counts binary").collect():
+    for r in reps.select("text").mapInArrow(count, "slab int, counts binary").groupBy("slab").applyInArrow(add, "slab int, counts binary").collect():
         total[r["slab"]] = c.unpack(r["counts"])[0]
     total = total.reshape(-1)
     return np.maximum(0, np.log2(np.maximum(total, 1) / max(8.0, 8 * total.mean())).astype(np.int8) + (total > max(8.0, 8 * total.mean())))
@@ -87,48 +87,46 @@ def ranked(values: np.ndarray, level: np.ndarray) -> np.ndarray:
     return np.argsort(level[(values >> t.U(44)).astype(np.int64)], kind="stable")
 
 
-def inverted(reps: DataFrame, shared, percent: int) -> DataFrame:
+def inverted(reps: DataFrame, shared, words: int, percent: int) -> DataFrame:
+    """(value, doc, n, pos): each retained value with its place in the document's order."""
+
     def rows(batches):
         level = shared.value
-        for batch in batches:
-            docs, ns = c.longs(batch, "doc_id"), c.longs(batch, "n")
-            data, offs = c.utf8(c.column(batch, "shingles"))
-            for lo in range(0, len(docs), 256):
-                vals, pos, ids, n_of = [], [], [], []
-                for i in range(lo, min(lo + 256, len(docs))):
-                    x = np.frombuffer(data[offs[i] : offs[i + 1]].tobytes(), np.uint64)
-                    k = len(x) - -(-percent * len(x) // 100) + 1
-                    vals.append(x[ranked(x, level)[:k]])
-                    pos.append(np.arange(k, dtype=np.int32))
-                    ids.append(np.full(k, docs[i]))
-                    n_of.append(np.full(k, ns[i], np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(vals).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(n_of)), pa.array(np.concatenate(pos))], names=["value", "doc", "n", "pos"])
+        for batch, lo, hi, data, offs in c.text_slices(batches):
+            docs = c.longs(batch, "doc_id")[lo:hi]
+            vals, pos, ids, n_of = [], [], [], []
+            for key, x in zip(docs, shingle_sets(data, offs, words)):
+                k = len(x) - -(-percent * len(x) // 100) + 1
+                vals.append(x[ranked(x, level)[:k]])
+                pos.append(np.arange(k, dtype=np.int32))
+                ids.append(np.full(k, key))
+                n_of.append(np.full(k, len(x), np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(vals).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(n_of)), pa.array(np.concatenate(pos))], names=["value", "doc", "n", "pos"])
 
     return reps.mapInArrow(rows, "value long, doc long, n int, pos int")
 
 
-def verify(pairs: DataFrame, reps: DataFrame, shared, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are alike."""
-    x = reps.selectExpr("doc_id a", "shingles x")
-    y = reps.selectExpr("doc_id b", "shingles y")
+def verify(pairs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets, made anew from the whole texts, are alike."""
+    x = reps.selectExpr("doc_id a", "text x")
+    y = reps.selectExpr("doc_id b", "text y")
 
     def rows(batches):
-        level = shared.value
         for batch in batches:
-            keep = []
-            for one, two in zip(c.column(batch, "x"), c.column(batch, "y")):
-                p, q = np.frombuffer(one.as_buffer(), np.uint64), np.frombuffer(two.as_buffer(), np.uint64)
-                keep.append(union_bound(p, q, level, percent) and alike(p, q, percent))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for lo in range(0, batch.num_rows, 128):
+                part = batch.slice(lo, 128)
+                one, two = (list(shingle_sets(*c.utf8(c.column(part, k)), words)) for k in ("x", "y"))
+                keep = [union_bound(p, q, percent) and alike(p, q, percent) for p, q in zip(one, two)]
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(rows, "a long, b long")
 
 
-def union_bound(p, q, level, percent, k: int = 128) -> bool:
+def union_bound(p, q, percent, k: int = 128) -> bool:
     """Whether the first k of the union (which both sketches show) still let the pair be alike."""
     if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
         return False
-    if min(len(p), len(q)) <= k or level is None:
+    if min(len(p), len(q)) <= k:
         return True
     a, b = p[:k], q[:k]
     last = min(a[-1], b[-1])
@@ -163,15 +161,17 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each document."""
     spark = docs.sparkSession
-    all_sets = c.through_table(sets(c.documents(docs), words), "sets")
-    keys = all_sets.select("doc_id", "n", "h1", "h2").where("n > 0")
+    d = c.documents(docs)
+    every = c.through_table(set_keys(d, words), "keys")
+    keys = every.where("n > 0")
     salted = keys.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(16)))
     classes = keys.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
     member = c.through_table(salted.join(classes, ["h1", "h2", "n", "salt"]).select("doc_id", "rep"), "members")
-    reps = c.through_table(all_sets.join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").select("doc_id", "n", "shingles"), "classes")
-    shared = spark.sparkContext.broadcast(crowded(reps))
+    reps = c.through_table(d.join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").select("doc_id", "text"), "classes")
+    shared = spark.sparkContext.broadcast(crowded(reps, words))
 
-    lists = c.through_table(inverted(reps, shared, percent), "lists")
+    # One exchange by value serves both the counts and the join with them.
+    lists = inverted(reps, shared, words, percent).repartition(c.partitions(spark), "value")
     first = lists.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("doc", "n", "pos")).alias("p")).where("size > 1")
     lists = c.through_table(lists.join(first, "value"), "lists")
 
@@ -180,7 +180,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
         return f"100L * least({a_n}, {b_n}) >= {percent}L * greatest({a_n}, {b_n}) and 100L * ({most}) >= {percent}L * ({a_n} + {b_n} - ({most}))"
 
     pairs = lists.where("doc <> p.doc").where(fits("p.n", "p.pos", "n", "pos")).selectExpr("p.doc a", "doc b").distinct()
-    links = c.through_table(verify(pairs, reps, shared, percent), "confirmed")
+    links = c.through_table(verify(pairs, reps, words, percent), "confirmed")
     label = components(links)
     left = lists.select("value", "doc", "n", "pos")
     for k in range(PIVOT_ROUNDS + 1):
@@ -193,7 +193,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
         chosen = left if last else left.where(F.col("size") <= 2 * PIVOTS * 2**k).unionByName(left.where((F.col("size") > 2 * PIVOTS * 2**k) & (F.pmod(F.xxhash64("doc", F.lit(k)), F.col("size")) < PIVOTS * 2**k)))
         chosen = chosen.selectExpr("value", "doc pd", "n pn", "pos pp", "comp pc")
         more = left.join(chosen, "value").where("comp <> pc").where(fits("pn", "pp", "n", "pos")).select(F.least("doc", "pd").alias("a"), F.greatest("doc", "pd").alias("b")).distinct()
-        found = c.through_table(verify(more, reps, shared, percent), "confirmed")
+        found = c.through_table(verify(more, reps, words, percent), "confirmed")
         # Lists of up to this size have now been tested whole, whatever was found.
         if not last:
             left = left.where(F.col("size") > 2 * PIVOTS * 2**k)
@@ -204,6 +204,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
         if last:
             break
     reach = member.join(label, member["rep"] == label["doc"], "left").select("doc_id", F.coalesce("comp", "rep").alias("component_id"))
-    out = all_sets.select("doc_id", F.col("n").alias("n_shingles")).join(reach, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    out = every.select("doc_id", F.col("n").alias("n_shingles")).join(reach, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
     return c.own_id(c.own_id(out, "component_id"))
