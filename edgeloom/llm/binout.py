@@ -4,12 +4,19 @@ A 64-bit word holds a selector (its 4 high bits) and as many ids of equal width
 more are escapes: the block stores their places and values apart and a zero in the stream. Blocks hold whole documents
 in ascending doc_id order, with the lengths of each and the offset of the block's first id, so that any block decodes
 alone. Null texts are empty and get the end id only; an empty table gives no blocks.
+
+Where no token of a tokenizer can span a space (see ``apart_at_spaces``), the library encodes each distinct stretch
+between spaces once and the ids are remembered in a bounded store; else it encodes whole texts. Both give the same ids.
 """
 
 from __future__ import annotations
 
+import functools
+import json
 import os
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +33,80 @@ BLOCK_IDS = 1 << 16
 BLOCK = "part int, block long, first long, ids_n long, doc_ids binary, lengths binary, n_words long, words binary, escapes binary"
 
 
+REMEMBERED, LONGEST_REMEMBERED = 500_000, 40
+
+# The steps known to treat the stretches between ASCII spaces apart.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+#: A letter that the normaliser leaves one letter, then marks at the end: two matches of SPLIT, whatever goes before.
+TAIL = re.compile(r"(?<=[A-Za-zß-öø-ÿ])[*#$%&.,;:!?)]+$")
+
+
+def apart_at_spaces(tokenizer: str) -> bool:
+    """Whether the ids of a text are those of its stretches between spaces, one after the other.
+
+    So it is where the normaliser looks at single characters or composes them (nothing composes with an ASCII space),
+    and the first split keeps only matches of a pattern that holds no space.
+    """
+    t = json.loads(tokenizer)
+    normal, pre = t.get("normalizer") or {}, t.get("pre_tokenizer") or {}
+    if any(t.get(x) for x in ("truncation", "padding", "post_processor")) or pre.get("type") != "Sequence" or normal.get("type") != "Sequence":
+        return False
+    first, *rest = pre["pretokenizers"]
+    return (
+        all(x in NORMALIZERS for x in normal["normalizers"])
+        and (first.get("type"), first.get("pattern"), first.get("behavior"), first.get("invert")) == ("Split", {"Regex": SPLIT}, "Removed", True)
+        and all(x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in rest)
+        and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or a["normalized"] or set(a["content"]) & set(" \t\n\r") for a in t["added_tokens"])
+    )
+
+
+class Encoder:
+    """Ids of whole texts by the tokenizers library, as little-endian unsigned 32-bit integers."""
+
+    def __init__(self, tokenizer: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_str(tokenizer)
+        self.apart = apart_at_spaces(tokenizer)
+        self.seen: dict[str, bytes] = {}
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        if not self.apart:
+            return self.whole(texts)
+        if len(self.seen) > REMEMBERED:
+            self.seen = {}
+        seen, out = self.seen, []
+        for text in texts:
+            units = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            split = {}
+            for u in units:
+                if u not in seen and u not in split:
+                    m = TAIL.search(u)
+                    split[u] = (u,) if m is None else (u[: m.start()], m[0])
+            fresh = [x for x in dict.fromkeys(y for z in split.values() for y in z) if x not in seen]
+            seen.update(zip(fresh, self.whole(fresh)))
+            for u, z in split.items():
+                if len(z) > 1:
+                    seen[u] = seen[z[0]] + seen[z[1]]
+            out.append(b"".join([seen[u] for u in units]))
+            for u in [*split, *fresh]:
+                if len(u) > LONGEST_REMEMBERED:
+                    seen.pop(u, None)
+        return out
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(tokenizer: str) -> Encoder:
+    """One for each Python worker, which keeps what it remembers from task to task."""
+    return Encoder(tokenizer)
+
+
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words, escape places, escape values)."""
     ids = np.asarray(ids, np.uint64)
@@ -74,9 +155,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 1, path: str | Non
 
     def rows(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_str(model.value)
+        machine = encoder(model.value)
         part, block, first = TaskContext.get().partitionId(), 0, 0
         keys, parts, size = [], [], 0
 
@@ -93,9 +172,9 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 1, path: str | Non
         for batch in batches:
             ids, texts = c.column(batch, "doc_id").to_pylist(), c.column(batch, "text").to_pylist()
             for lo in range(0, len(ids), 64):
-                for key, e in zip(ids[lo : lo + 64], t.encode_batch([x or "" for x in texts[lo : lo + 64]], add_special_tokens=False)):
+                for key, made in zip(ids[lo : lo + 64], machine.ids([x or "" for x in texts[lo : lo + 64]])):
                     keys.append(key)
-                    parts.append(np.array([*e.ids, end_id], np.uint64))
+                    parts.append(np.append(np.frombuffer(made, "<u4"), end_id).astype(np.uint64))
                     size += len(parts[-1])
                     if size >= BLOCK_IDS:
                         yield flush()
