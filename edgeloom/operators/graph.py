@@ -29,31 +29,22 @@ def top_degree_root(edges: DataFrame) -> DataFrame:
 
 def bfs(edges: DataFrame, root: int) -> DataFrame:
     """(vertex, depth, parent) of what root reaches; the parent is the least vertex of the level above."""
-    spark = edges.sparkSession
-    seen = spark.createDataFrame([(root, 0, root)], "vertex long, depth int, parent long")
-    front, depth = seen, 0
-    edges = edges.select("src", "dst").repartition("src").persist()
-    while True:
-        depth += 1
-        step = front.select(F.col("vertex").alias("src")).join(edges, "src").groupBy("dst").agg(F.min("src").alias("parent"))
-        front = _cut(step.join(seen.select(F.col("vertex").alias("dst")), "dst", "left_anti").select(F.col("dst").alias("vertex"), F.lit(depth).alias("depth"), "parent"))
-        if not front.limit(1).count():
-            edges.unpersist()
-            return seen
-        seen = _cut(seen.unionByName(front))
-
-
-def sssp(edges: DataFrame, root: int) -> DataFrame:
-    """(vertex, dist) over non-negative weights: improving rounds until none changes."""
-    spark = edges.sparkSession
-    dist = spark.createDataFrame([(root, 0.0)], "vertex long, dist double")
-    front = dist
-    while True:
-        new = front.withColumnRenamed("vertex", "src").join(edges, "src").groupBy(F.col("dst").alias("vertex")).agg(F.min(F.col("dist") + F.col("w")).alias("new"))
-        front = _cut(new.join(dist, "vertex", "left").where("dist is null or new < dist").select("vertex", F.col("new").alias("dist")))
-        if not front.limit(1).count():
-            return dist
-        dist = _cut(dist.join(front.select("vertex"), "vertex", "left_anti").unionByName(front))
+    from .search import bfs_multi
+
+    return bfs_multi(edges, _one(edges, root)).select("vertex", "depth", "parent")
+
+
+def sssp(edges: DataFrame, root: int, delta: float | None = None) -> DataFrame:
+    """(vertex, dist) over non-negative weights; see search.sssp_multi."""
+    from .search import sssp_multi
+
+    return sssp_multi(edges, _one(edges, root), delta).select("vertex", "dist")
+
+
+def _one(edges: DataFrame, root: int) -> DataFrame:
+    if root < 0:
+        raise ValueError("a root is a vertex id of 0 or more")
+    return edges.sparkSession.range(root, root + 1).selectExpr("id root")
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -63,6 +54,8 @@ def _cut(df: DataFrame) -> DataFrame:
         import tempfile
 
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="edgeloom-"))
+    elif not sc.getCheckpointDir():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
     return df.checkpoint()
 
 

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from edgeloom.operators import generate as k
 from edgeloom.operators import graph as g
+from edgeloom.operators import search as h
+from edgeloom.sources import files
 
 
 def raw(spark, d):
@@ -74,3 +77,62 @@ ORACLE |= {
     "adj_binary": f"{E} SELECT src, dst, CASE WHEN w > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS present FROM e",
     "degree_histogram": f"{E}, {DEG} SELECT degree, count(*) AS vertices FROM deg GROUP BY degree",
 }
+
+
+def _top(e):
+    return g.top_degree_root(e).selectExpr("vertex root")
+
+
+def _directions(s, d):
+    e, log = edges(s, d), []
+    h.bfs_multi(e, _top(e), log=log)
+    return s.createDataFrame(log, "level int, size long, volume long, bottom_up int")
+
+
+def _tree(s, d):
+    return h.bfs_multi(e := edges(s, d), _top(e))
+
+
+def _searches(s, d):
+    e = edges(s, d)
+    return h.searches(e, h.bfs_multi(e, h.sample_roots(e)))
+
+
+def _paths(s, d):
+    e = edges(s, d)
+    return e, h.with_parents(e, h.sssp_multi(e, _top(e), 0.1))
+
+
+SCALE = 10
+QUERIES |= {
+    "rmat_edges": lambda s, d: k.stochastic(s, SCALE),
+    "kron_prob": lambda s, d: k.cell_probabilities(s, 5).selectExpr("src", "dst", "round(p, 12) p"),
+    "exact_edges": lambda s, d: k.exact(s, 5),
+    "scramble_compatible": lambda s, d: s.range(1 << SCALE).selectExpr("id vertex", f"{k.compatible_sql('id', SCALE)} scrambled"),
+    "csr_indptr": lambda s, d: h.row_pointers(edges(s, d), 5000, 512),
+    "bfs_tree": lambda s, d: _tree(s, d).select("vertex", "depth", "parent"),
+    "bfs_directions": _directions,
+    "validate_bfs": lambda s, d: h.validate_bfs(edges(s, d), _tree(s, d), strict=True),
+    "validate_sssp": lambda s, d: h.validate_sssp(*_paths(s, d)),
+    "bench_roots": lambda s, d: h.sample_roots(edges(s, d)),
+    "bench_searches": _searches,
+    "edgelist_lines": lambda s, d: files.edge_lines(edges(s, d)),
+    "teps_stats": lambda s, d: h.rate_stats(g.out_degree(edges(s, d)).where("vertex < 200").selectExpr("cast(degree as double) teps")),
+    "degree_bins": lambda s, d: h.histogram(g.out_degree(edges(s, d)).selectExpr("cast(degree as double) x"), "x", 5),
+}
+_MIX = "SELECT id, l, xor(x, x >> 16) / 4294967296.0::DOUBLE AS r FROM (SELECT id, l, (xor(x, x >> 15) * -2073254261) & 4294967295 AS x FROM (SELECT id, l, (xor(x, x >> 16) * 2146121005) & 4294967295 AS x FROM (SELECT id, l, ((((id * 64 + l) & 4294967295) * -1640531535) + 1701126) & 4294967295 AS x FROM {})))"
+_LEVELS = f"(SELECT id, l FROM range({16 << SCALE}) t(id), (SELECT range AS l FROM range({SCALE}) UNION ALL SELECT 63))"
+_CELL = "SELECT id, id >> 5 AS src, id & 31 AS dst, pow(0.57, 5 - bit_count((id >> 5) | (id & 31))) * pow(0.19, bit_count(xor(id >> 5, id & 31))) * pow(0.05, bit_count((id >> 5) & (id & 31))) AS p FROM range(1024) t(id)"
+ORACLE |= {
+    "rmat_edges": f"WITH r AS ({_MIX.format(_LEVELS)}), q AS (SELECT id, l, r, CASE WHEN r < 0.57::DOUBLE THEN 0 WHEN r < 0.57::DOUBLE + 0.19::DOUBLE THEN 1 WHEN r < 0.57::DOUBLE + 0.19::DOUBLE + 0.19::DOUBLE THEN 2 ELSE 3 END AS q FROM r) SELECT cast(sum(CASE WHEN l < {SCALE} THEN (q >> 1) * (1 << cast({SCALE - 1} - l AS INT)) END) AS BIGINT) AS src, cast(sum(CASE WHEN l < {SCALE} THEN (q & 1) * (1 << cast({SCALE - 1} - l AS INT)) END) AS BIGINT) AS dst, max(CASE WHEN l = 63 THEN r END) AS w FROM q GROUP BY id".replace(f"{SCALE - 1} - l AS", f"greatest({SCALE - 1} - l, 0) AS"),
+    "kron_prob": f"SELECT src, dst, round(p, 12) AS p FROM ({_CELL})",
+    "exact_edges": f"WITH r AS ({_MIX.format('(SELECT id, l FROM range(1024) t(id), (VALUES (62), (63)) v(l))')}) SELECT c.src, c.dst, b.r AS w FROM ({_CELL}) c JOIN r a ON a.id = c.id AND a.l = 62 JOIN r b ON b.id = c.id AND b.l = 63 WHERE a.r < p",
+    "scramble_compatible": f"SELECT id AS vertex, xor(x, x >> {SCALE}) & {(1 << SCALE) - 1} AS scrambled FROM (SELECT id, (id * 2654435761 + ((42::BIGINT * 1013904223) & 4294967295)) & 4294967295 AS x FROM range({1 << SCALE}) t(id))",
+    "csr_indptr": f"{E}, {DEG} SELECT v.id AS vertex, cast(coalesce(sum(coalesce(degree, 0)) OVER (ORDER BY v.id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS indptr FROM range(5001) v(id) LEFT JOIN deg ON deg.vertex = v.id",
+    "bfs_tree": f"{E}, {BFS} SELECT c.vertex, c.depth, coalesce(min(e.src) FILTER (WHERE p.vertex IS NOT NULL), c.vertex) AS parent FROM l c LEFT JOIN e ON e.dst = c.vertex LEFT JOIN l p ON p.vertex = e.src AND p.depth = c.depth - 1 GROUP BY c.vertex, c.depth",
+    "validate_bfs": "SELECT '' AS kind, 0::BIGINT AS root, 0::BIGINT AS vertex WHERE false",
+    "validate_sssp": "SELECT '' AS kind, 0::BIGINT AS root, 0::BIGINT AS vertex WHERE false",
+    "bench_roots": f"{E}, {DEG} SELECT vertex AS root FROM deg ORDER BY (vertex * 2654435761 + 1701126) & 4294967295, vertex LIMIT 64",
+    "edgelist_lines": f"{E} SELECT concat(src, chr(9), dst, chr(9), printf('%.6f', w)) AS line FROM e",
+    "teps_stats": f"{E}, {DEG}, t AS (SELECT cast(degree AS DOUBLE) AS x FROM deg WHERE vertex < 200), n AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS i, count(*) OVER () - 1 AS m FROM t) SELECT min(x) AS min, max(CASE WHEN i = floor(0.25 * m) THEN x END) AS q1, median(x) AS median, max(CASE WHEN i = floor(0.75 * m) THEN x END) AS q3, max(x) AS max, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS sd, round(count(*) / sum(1 / x), 6) AS harmonic FROM n",
+}
