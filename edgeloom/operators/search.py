@@ -157,6 +157,11 @@ def histogram(values: DataFrame, column: str, bins: int) -> DataFrame:
     return values.sparkSession.range(bins).selectExpr("id bin").join(counted, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("count"))
 
 
+def vertices_n(edges: DataFrame) -> int:
+    """The greatest vertex id + 1, or 0 if there are no edges."""
+    return edges.agg(F.coalesce(F.max(F.greatest("src", "dst")) + 1, F.lit(0))).first()[0]
+
+
 def row_pointers(edges: DataFrame, vertices_n: int, block: int = 1 << 16) -> DataFrame:
     """(vertex, indptr) for 0 .. vertices_n: sums of id blocks, their running sum, then running sums inside the blocks."""
     ids = edges.sparkSession.range(vertices_n + 1).selectExpr("id vertex").join(out_degree(edges), "vertex", "left").selectExpr("vertex", "coalesce(degree, 0) degree", f"vertex div {block} block")

@@ -98,6 +98,11 @@ def _searches(s, d):
     return h.searches(e, h.bfs_multi(e, h.sample_roots(e)))
 
 
+def _indptr(s, d):
+    e = edges(s, d)
+    return h.row_pointers(e, h.vertices_n(e), 512)
+
+
 def _paths(s, d):
     e = edges(s, d)
     return e, h.with_parents(e, h.sssp_multi(e, _top(e), 0.1))
@@ -109,7 +114,7 @@ QUERIES |= {
     "kron_prob": lambda s, d: k.cell_probabilities(s, 5).selectExpr("src", "dst", "round(p, 12) p"),
     "exact_edges": lambda s, d: k.exact(s, 5),
     "scramble_compatible": lambda s, d: s.range(1 << SCALE).selectExpr("id vertex", f"{k.compatible_sql('id', SCALE)} scrambled"),
-    "csr_indptr": lambda s, d: h.row_pointers(edges(s, d), 5000, 512),
+    "csr_indptr": _indptr,
     "bfs_tree": lambda s, d: _tree(s, d).select("vertex", "depth", "parent"),
     "bfs_directions": _directions,
     "validate_bfs": lambda s, d: h.validate_bfs(edges(s, d), _tree(s, d), strict=True),

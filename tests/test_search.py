@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from edgeloom.operators import generate, search
 from edgeloom.operators import graph as g
+from edgeloom.plans.queries import QUERIES
 from edgeloom.plans.queries import edges as derived
 from edgeloom.sources import files
 from test_graph import spark  # noqa: F401
@@ -96,3 +97,18 @@ def test_files(spark, tmp_path, weighted):
     files.write_edge_list(e, str(tmp_path / "edges"), weighted)
     assert sorted(map(tuple, files.read_edge_list(spark, str(tmp_path / "edges")).collect())) == want
     assert np.load(str(tmp_path / "g.npz"))["indptr"].tolist() == [0, 2, 3, 4, 4]
+
+
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.1"])
+def test_row_pointers_reach_the_greatest_id(spark, sf):
+    e = derived(spark, sf)
+    src = np.array([r["src"] for r in e.select("src").collect()])
+    degree = np.bincount(src)
+    got = [tuple(r) for r in QUERIES["csr_indptr"](spark, sf).orderBy("vertex").collect()]
+    assert got == list(enumerate(np.concatenate([[0], np.cumsum(degree)]).tolist()))
+    assert got[-1][1] == len(src)
+
+
+def test_no_edges_have_one_row_pointer(spark):
+    e = frame(spark, [])
+    assert [tuple(r) for r in search.row_pointers(e, search.vertices_n(e)).collect()] == [(0, 0)]
