@@ -136,13 +136,30 @@ def searches(edges: DataFrame, found: DataFrame) -> DataFrame:
     return per.join(d.selectExpr("vertex root", "degree"), "root", "left").select("root", F.coalesce("degree", F.lit(0)).alias("degree"), "reached", "traversed")
 
 
+def at_ranks(values: DataFrame, column: str, ranks: dict[str, str]) -> DataFrame:
+    """One row: for each name the value at a rank (from 0, an expression of the count ``m``) of the ascending values.
+
+    Exact, and no task holds all values: distinct values with their counts are dealt by ranges, then running sums are
+    taken inside the ranges; only one sum a range goes through the window without a partition.
+    """
+    counted = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    dealt = _cut(counted.repartitionByRange("x").select("x", "n", F.spark_partition_id().alias("part")))
+    sums = dealt.groupBy("part").agg(F.sum("n").alias("total"))
+    before = sums.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
+    inside = F.sum("n").over(Window.partitionBy("part").orderBy("x")) - F.col("n")
+    placed = dealt.withColumn("inside", inside).join(F.broadcast(before), "part").crossJoin(F.broadcast(sums.agg(F.sum("total").alias("m")))).selectExpr("x", "n", "m", "before + inside below")
+    return placed.agg(*(F.expr(f"max(case when below <= {rank} and {rank} < below + n then x end)").alias(name) for name, rank in ranks.items()))
+
+
 def rate_stats(rates: DataFrame) -> DataFrame:
-    """Statistics of a column ``teps``; one row for each search, so the list is short. The harmonic mean lets values <= 0 add nothing."""
-    at = "element_at(sort_array(collect_list(teps)), cast(floor({} * (count(teps) - 1)) as int) + 1)"
-    return rates.selectExpr("teps", "case when teps > 0 then 1 / teps else 0D end inv").agg(
-        F.min("teps").alias("min"), F.expr(at.format("0.25D")).alias("q1"), F.median("teps").alias("median"), F.expr(at.format("0.75D")).alias("q3"), F.max("teps").alias("max"),
-        F.round(F.avg("teps"), 6).alias("mean"), F.round(F.stddev_pop("teps"), 6).alias("sd"), F.round(F.expr("case when sum(inv) > 0 then count(teps) / sum(inv) else 0D end"), 6).alias("harmonic"),
+    """Statistics of a column ``teps``, of any length. The harmonic mean lets values <= 0 add nothing."""
+    ranks = {"q1": "floor(0.25D * (m - 1))", "low": "(m - 1) div 2", "high": "m div 2", "q3": "floor(0.75D * (m - 1))"}
+    rest = rates.selectExpr("teps", "case when teps > 0 then 1 / teps else 0D end inv").agg(
+        F.min("teps").alias("min"), F.max("teps").alias("max"), F.round(F.avg("teps"), 6).alias("mean"), F.round(F.stddev_pop("teps"), 6).alias("sd"),
+        F.round(F.expr("case when sum(inv) > 0 then count(teps) / sum(inv) else 0D end"), 6).alias("harmonic"),
     )
+    both = rest.crossJoin(at_ranks(rates, "teps", ranks))
+    return both.selectExpr("min", "q1", "0.5D * low + 0.5D * high median", "q3", "max", "mean", "sd", "harmonic")
 
 
 def histogram(values: DataFrame, column: str, bins: int) -> DataFrame:

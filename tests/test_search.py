@@ -112,3 +112,26 @@ def test_row_pointers_reach_the_greatest_id(spark, sf):
 def test_no_edges_have_one_row_pointer(spark):
     e = frame(spark, [])
     assert [tuple(r) for r in search.row_pointers(e, search.vertices_n(e)).collect()] == [(0, 0)]
+
+
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.1"])
+def test_rate_statistics_take_every_vertex(spark, sf):
+    x = np.sort([r["degree"] for r in g.out_degree(derived(spark, sf)).collect()]).astype(float)
+    q1, q3 = (x[int(p * (len(x) - 1))] for p in (0.25, 0.75))
+    want = (x[0], q1, np.median(x), q3, x[-1], x.mean(), x.std(), len(x) / (1 / x).sum())
+    assert tuple(QUERIES["teps_stats"](spark, sf).first()) == pytest.approx(want, abs=1e-6)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 6, 5001])
+def test_ranks_over_many_ranges(spark, n):
+    rng = np.random.default_rng(n)
+    x = np.concatenate([rng.normal(size=n - n // 3), np.full(n // 3, 0.25)])
+    rates = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "teps double").repartition(7)
+    got, x = search.rate_stats(rates).first(), np.sort(x)
+    assert (got["q1"], got["q3"]) == tuple(x[int(p * (n - 1))] for p in (0.25, 0.75)) and got["median"] == pytest.approx(np.median(x), abs=1e-15)
+
+
+def test_ranks_gather_no_list(spark, capsys):
+    search.rate_stats(spark.range(100).selectExpr("cast(id as double) teps")).explain()
+    plan = capsys.readouterr().out
+    assert "collect_list" not in plan and "percentile" not in plan and "median(" not in plan
