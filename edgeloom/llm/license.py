@@ -1,11 +1,11 @@
 """License scans: set-similarity join of text blocks with license templates, in DataFrame functions only.
 
-Base places: starts of a fixed phrase's words standing consecutively. Beside them, blocks of BLOCK words (one every
-BLOCK / 2) are joined with the token sets of TEMPLATES: a block matches when it holds CONTAINMENT percent or more of a
-template's tokens. Template tokens are ordered by their frequency in the whole corpus, rarest first; by the prefix
-filter a block must hold one of a template's first ``size - need + 1`` tokens, by the length filter ``need`` distinct
-tokens or more, and by the positional filter enough tokens from its first shared prefix token on; what is left is
-counted in full. A matching block gives the template's label.
+Base places: starts of a fixed phrase's words standing consecutively. Beside them, blocks of BLOCK words, one from every
+word on, are joined with the token sets of TEMPLATES: a block matches when it holds CONTAINMENT percent or more of a
+template's tokens. Template tokens are ordered by the number of documents of the whole corpus that hold them, fewest
+first; by the prefix filter a block must hold one of a template's first ``size - need + 1`` tokens, and by the length
+filter template tokens must stand at ``need`` of its places or more; what is left is counted in full. A matching block
+gives the template's label.
 
 Null and empty texts have no words: zero counts, null places, empty label strings, score 0. Repeated rows of one doc_id
 are one document. An empty table gives an empty table.
@@ -13,6 +13,8 @@ are one document. An empty table gives an empty table.
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +39,10 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words(docs: DataFrame) -> DataFrame:
-    lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return docs.select("doc_id", F.regexp_extract_all(lower, F.lit(WORD), F.lit(0)).alias("w"))
+    """The runs of WORD in the text with A-Z lowered, found by one translation and a split at spaces."""
+    other = "".join(x for x in map(chr, range(128)) if x != " " and not x.isalnum())
+    spaced = F.translate(F.coalesce("text", F.lit("")), ascii_uppercase + other, ascii_lowercase + " " * len(other))
+    return docs.select("doc_id", F.array_remove(F.split(spaced, " "), "").alias("w"))
 
 
 def text(s: str) -> str:
@@ -50,9 +54,9 @@ def strings(xs) -> str:
 
 
 def ordered_templates(worded: DataFrame) -> dict[str, list[str]]:
-    """Each template's tokens, rarest in the corpus first."""
+    """Each template's tokens, those in the fewest documents first."""
     tokens = sorted({x for s in TEMPLATES.values() for x in s.split()})
-    seen = worded.select(F.explode("w").alias("token")).where(F.col("token").isin(tokens)).groupBy("token").count().collect()
+    seen = worded.select(F.explode(F.expr(f"array_intersect(w, {strings(tokens)})")).alias("token")).groupBy("token").count().collect()
     many = {r["token"]: r["count"] for r in seen}
     return {k: sorted(set(s.split()), key=lambda x: (many.get(x, 0), x)) for k, s in TEMPLATES.items()}
 
@@ -64,26 +68,27 @@ def phrase_places(phrase: str) -> str:
 
 
 def block_matches(tokens: list[str]) -> str:
-    """The largest share of a template's tokens in any block of at least the threshold, else 0."""
+    """The largest share of a template's tokens in any block of at least the threshold, else 0.
+
+    A block moved on to its first template token loses none, so the blocks that start at one are enough.
+    """
     size = len(tokens)
     need = -(-CONTAINMENT * size // 100)
     prefix = tokens[: size - need + 1]
-    positional = " or ".join(f"(array_contains(b, {text(x)}) and {size - i} >= {need})" for i, x in enumerate(prefix))
-    shares = (
-        f"transform(filter(blocks, b -> arrays_overlap(b, {strings(prefix)}) and size(b) >= {need} and ({positional})), "
-        f"b -> size(array_intersect(b, {strings(tokens)})))"
-    )
-    return f"aggregate({shares}, 0, (x, y) -> if(y >= {need}, greatest(x, y), x)) / {float(size)}D"
+    at = f"if(arrays_overlap(w, {strings(prefix)}), filter(sequence(0, size(w) - 1), i -> array_contains({strings(tokens)}, get(w, i))), cast(array() as array<int>))"
+    starts = f"filter(h, (x, j) -> get(h, j + {need - 1}) - x < {BLOCK})"
+    blocks = f"filter(transform({starts}, x -> slice(w, x + 1, {BLOCK})), b -> arrays_overlap(b, {strings(prefix)}))"
+    shares = f"transform({blocks}, b -> size(array_intersect(b, {strings(tokens)})))"
+    best = f"aggregate({shares}, 0, (x, y) -> if(y >= {need}, greatest(x, y), x))"
+    return f"aggregate(transform(array({at}), h -> {best}), 0, (x, y) -> greatest(x, y)) / {float(size)}D"
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score (1 for a base place, else the best containment)."""
     worded = words(c.documents(docs))
     templates = ordered_templates(worded)
-    step = BLOCK // 2
-    blocks = f"if(size(w) = 0, cast(array() as array<array<string>>), transform(sequence(0, greatest(0, (size(w) - 1 - {step}) div {step})), k -> slice(w, k * {step} + 1, {BLOCK})))"
-    x = worded.select("doc_id", F.expr("cast(size(w) as long)").alias("n_words"), *(F.expr(phrase_places(p)).alias(f"p{i}") for i, p in enumerate(PHRASES)), F.expr(blocks).alias("blocks"))
-    x = x.select("*", *(F.expr(block_matches(v)).alias(f"t{i}") for i, v in enumerate(templates.values()))).drop("blocks")
+    x = worded.select("doc_id", "w", F.expr("cast(size(w) as long)").alias("n_words"), *(F.expr(phrase_places(p)).alias(f"p{i}") for i, p in enumerate(PHRASES)))
+    x = x.select("*", *(F.expr(block_matches(v)).alias(f"t{i}") for i, v in enumerate(templates.values()))).drop("w")
     every = ", ".join(f"p{i}" for i in range(len(PHRASES)))
     base = ", ".join(f"if(size(p{i}) > 0, {text(v)}, null)" for i, v in enumerate(PHRASES.values()))
     more = ", ".join(f"if(t{i} > 0, {text(k)}, null)" for i, k in enumerate(templates))

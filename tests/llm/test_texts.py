@@ -1,4 +1,6 @@
 import hashlib
+import random
+import re
 import zlib
 
 import numpy as np
@@ -105,3 +107,47 @@ def test_language_edges(edge_docs, monkeypatch):
     assert len(got) == 11 and all(got[k]["lang_pred"] == "und" and got[k]["score"] == 0 for k in (2, 3, 4))
     assert got[0]["held_out"] == (zlib.crc32(b"0") % 5 == 0)
     assert {r["lang_pred"] for r in langid.identify(edge_docs.limit(0).union(edge_docs.where("doc_id = 8"))).collect()} == {"und"}
+
+
+def license_brute(text):
+    """Labels and best share over the blocks at every word."""
+    w, out = license_words(text), {}
+    for name, template in license.TEMPLATES.items():
+        tokens = set(template.split())
+        n = max((len(tokens & set(w[i : i + license.BLOCK])) for i in range(len(w))), default=0)
+        if 100 * n >= license.CONTAINMENT * len(tokens):
+            out[name] = n / len(tokens)
+    return ",".join(sorted(out)), max(out.values(), default=0.0)
+
+
+def license_words(text):
+    return re.findall(license.WORD, re.sub("[A-Z]+", lambda m: m[0].lower(), text))
+
+
+def test_license_words(spark):
+    rows = ["".join(map(chr, range(300))), " a  B\x00c\u2003d\tİK\U0001f600-_9 ", "", " ", "\x7fé"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r["doc_id"]: r["w"] for r in license.words(df).collect()} == {i: license_words(x) for i, x in enumerate(rows)}
+
+
+def test_license_blocks_at_every_word(spark):
+    rng = random.Random(5)
+    rows = []
+    for gap in (7, 8):
+        first, rest = license.TEMPLATES["apache-2.0-text"].split()[:4], license.TEMPLATES["apache-2.0-text"].split()[4:]
+        passage = [*first, *("between" for _ in range(gap)), *rest]
+        rows += [" ".join(["x"] * before + passage + ["y"] * 40) for before in range(33)]
+    words = sorted({x for s in license.TEMPLATES.values() for x in s.split()})
+    for _ in range(200):
+        text = ["x"] * rng.randrange(40)
+        for _ in range(rng.randrange(1, 4)):
+            for x in rng.choice(list(license.TEMPLATES.values())).split():
+                if rng.random() < 0.9:
+                    text += [x, *(rng.choice(["x", rng.choice(words)]) for _ in range(rng.choice([0, 0, 0, 1, 2, 3])))]
+            text += ["x"] * rng.randrange(20)
+        rows.append(" ".join(text))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license.scan(df).where("n_base = 0").collect()}
+    want = {i: license_brute(rows[i]) for i in got}
+    assert len(got) > 200 and got == want
+    assert all(got[i] == ("apache-2.0-text", 1.0) for i in range(66))
