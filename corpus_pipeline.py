@@ -32,9 +32,10 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
-    bad = decontam.scan(docs, common.table(spark, sf_dir, "benchmark")).where("contaminated").selectExpr("doc_id _id")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]), "left_anti").select(*COLUMNS)
+    """Contaminated documents go; the others lose their long hit spans, and n_chars follows where one went."""
+    kept = decontam.clean(docs.withColumn("_was", F.length("text")), common.table(spark, sf_dir, "benchmark"))
+    changed = F.length("text") < F.col("_was")
+    return kept.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,9 @@ The automaton holds every word sequence that stands in an item. Words of a docum
 length of the longest item sequence ending at each word is tracked: a length of ``window`` or more ends an occurrence
 of a window. Items shorter than a window count only as a whole.
 
+A document of which a 1/share or more is hit is contaminated as a whole; from the others, hit spans of ``longest`` words
+or more are removed.
+
 Null or empty texts have no words; items without words are ignored; an empty benchmark hits nothing; an item_id on
 several rows is one item that has the windows of each row.
 """
@@ -21,6 +24,7 @@ from . import common as c
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 ASCII_LOWER = {i: i + 32 for i in range(65, 91)}
 MAX_BENCHMARK_BYTES = 256 << 20
+LONGEST = 13
 SCHEMA = "doc_id long, n_words long, n_hit long, item_ids array<string>, spans array<array<int>>, contaminated boolean"
 
 
@@ -144,7 +148,33 @@ def digest(scanned: DataFrame) -> DataFrame:
     return scanned.selectExpr("doc_id", "n_words", "n_hit", "cast(size(item_ids) as long) n_items", "sha2(concat_ws(',', array_sort(item_ids)), 256) items_sha256", "contaminated")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with all their columns."""
-    bad = scan(docs, benchmark).where("contaminated").select(c.F.col("doc_id").alias("_bad"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+def without(text: str, spans: list, longest: int) -> str:
+    """The text without its hit spans of that many words or more, from their first word to the next word after them.
+
+    A span at the end goes with what follows its last word.
+    """
+    begins = [m.start() for m in WORD.finditer(text.translate(ASCII_LOWER))] + [len(text)]
+    out, at = [], 0
+    for s, e in spans:
+        if e - s >= longest:
+            out.append(text[at : begins[s]])
+            at = begins[e]
+    return "".join(out) + text[at:]
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, longest: int = LONGEST) -> DataFrame:
+    """The documents that are not contaminated, with all their columns; ``text`` without the long hit spans."""
+    spark = docs.sparkSession
+    found = scan(docs, benchmark, window, share).where("n_hit > 0").selectExpr("doc_id _id", "contaminated _bad", "spans _spans")
+    schema = docs.schema
+
+    def rows(batches):
+        for batch in batches:
+            text, spans = c.column(batch, "text"), c.column(batch, "_spans")
+            if spans.null_count < len(spans):
+                cut = [x and without(x, s, longest) if s else x for x, s in zip(text.to_pylist(), spans.to_pylist())]
+                text = pa.array(cut, text.type)
+            yield pa.RecordBatch.from_arrays([text if n == "text" else c.column(batch, n) for n in schema.names], names=schema.names)
+
+    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left").where("_bad is null or not _bad")
+    return joined.select(*schema.names, "_spans").mapInArrow(rows, schema)

@@ -151,3 +151,28 @@ def test_license_blocks_at_every_word(spark):
     want = {i: license_brute(rows[i]) for i in got}
     assert len(got) > 200 and got == want
     assert all(got[i] == ("apache-2.0-text", 1.0) for i in range(66))
+
+
+def test_long_hit_spans_are_removed(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    item = [f"W{i}" for i in range(300)]
+    filler = lambda n: [f"f{rng.randrange(9999)}" for _ in range(n)]
+    rows = [
+        (1, " ".join([*filler(4000), *item, *filler(4000)])), (2, " ".join(filler(50) + item)), (3, "free, text."), (4, None), (None, "İ, " * 9000 + ", ".join(item) + "; é"),
+        (5, " ".join([*filler(400), *item[:13], *filler(9), *item[20:32], "f", "one", "two", *filler(5), *item[40:60]] + filler(400))),
+    ]
+    bench = spark.createDataFrame([(1, " ".join(item).lower()), (2, "one two")], "item_id long, text string")
+    docs = spark.createDataFrame([(*r, "x", "y", 7) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r["doc_id"]: r for r in corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()}
+    assert set(got) == {1, 3, 4, None, 5}
+    for key, text in rows:
+        if key in got:
+            w = (text or "").split(" ")
+            want = {1: w[:4000] + w[4300:], None: w[:9000] + ["é"], 5: w[:400] + w[413:442] + w[462:]}.get(key, w)
+            assert (got[key]["text"] or "") == " ".join(want)
+            assert got[key]["n_chars"] == (7 if key in (3, 4) else len(" ".join(want)))
+    left = decontam.scan(docs.sparkSession.createDataFrame([(k, r["text"]) for k, r in got.items()], "doc_id long, text string"), bench)
+    assert left.selectExpr("explode(spans) s").where("s[1] - s[0] >= 13").count() == 0
