@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from edgeloom.operators import generate as k
@@ -10,14 +12,19 @@ from edgeloom.operators import search as h
 from edgeloom.sources import files
 
 
-def raw(spark, d):
+THIN = 3
+
+
+def raw(spark, d, most=THIN):
+    """One edge for each line of an order: the thinned graph of lines of at most that quantity, or all with None."""
     o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey")
-    li = spark.read.parquet(f"{d}/lineitem.parquet").where("l_quantity <= 3")
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    li = li if most is None else li.where(F.col("l_quantity") <= most)
     return o.join(li, F.expr("o_orderkey = l_orderkey")).selectExpr("2*o_custkey AS src", "2*l_partkey+1 AS dst", "l_discount + l_tax + l_quantity/1000 AS w")
 
 
-def edges(spark, d):
-    return g.post_process(raw(spark, d))
+def edges(spark, d, most=THIN):
+    return g.post_process(raw(spark, d, most))
 
 
 def _root(e):
@@ -31,16 +38,16 @@ TOP = f"{DEG}, top AS (SELECT vertex, degree FROM deg ORDER BY degree DESC, vert
 BFS = f"{TOP}, r(vertex, d) AS (SELECT vertex, 0 FROM top UNION SELECT dst, d + 1 FROM r JOIN e ON src = vertex WHERE d < 30), l AS (SELECT vertex, min(d) AS depth FROM r GROUP BY vertex)"
 
 QUERIES = {
-    "symmetrize": lambda s, d: g.post_process(raw(s, d), collapse_duplicates=False),
+    "symmetrize": lambda s, d, most=THIN: g.post_process(raw(s, d, most), collapse_duplicates=False),
     "collapse_min": edges,
-    "no_self_loops": lambda s, d: g.post_process(raw(s, d), True, False, False),
-    "out_degree": lambda s, d: g.out_degree(edges(s, d)),
-    "active_vertices": lambda s, d: g.active_vertices(edges(s, d)),
-    "top_degree_root": lambda s, d: g.top_degree_root(edges(s, d)),
-    "graph_stats": lambda s, d: g.graph_stats(edges(s, d)),
-    "light_heavy_split": lambda s, d: edges(s, d).select("src", "dst", (F.col("w") <= 0.1).alias("light")),
-    "bfs_levels": lambda s, d: g.bfs(e := edges(s, d), _root(e)).groupBy("depth").agg(F.count(F.lit(1)).alias("frontier_size")),
-    "sssp_dist": lambda s, d: g.sssp(e := edges(s, d), _root(e)),
+    "no_self_loops": lambda s, d, most=THIN: g.post_process(raw(s, d, most), True, False, False),
+    "out_degree": lambda s, d, most=THIN: g.out_degree(edges(s, d, most)),
+    "active_vertices": lambda s, d, most=THIN: g.active_vertices(edges(s, d, most)),
+    "top_degree_root": lambda s, d, most=THIN: g.top_degree_root(edges(s, d, most)),
+    "graph_stats": lambda s, d, most=THIN: g.graph_stats(edges(s, d, most)),
+    "light_heavy_split": lambda s, d, most=THIN: edges(s, d, most).select("src", "dst", (F.col("w") <= 0.1).alias("light")),
+    "bfs_levels": lambda s, d, most=THIN: g.bfs(e := edges(s, d, most), _root(e)).groupBy("depth").agg(F.count(F.lit(1)).alias("frontier_size")),
+    "sssp_dist": lambda s, d, most=THIN: g.sssp(e := edges(s, d, most), _root(e)),
 }
 ORACLE = {
     "symmetrize": f"WITH {RAW} SELECT src, dst, w FROM s",
@@ -55,19 +62,19 @@ ORACLE = {
 }
 
 
-def _csr_entries(s, d):
+def _csr_entries(s, d, most=THIN):
     from pyspark.sql import Window
 
-    return edges(s, d).select("src", F.row_number().over(Window.partitionBy("src").orderBy("dst")).cast("long").alias("slot"), "dst", "w")
+    return edges(s, d, most).select("src", F.row_number().over(Window.partitionBy("src").orderBy("dst")).cast("long").alias("slot"), "dst", "w")
 
 
 QUERIES |= {
     "csr_entries": _csr_entries,
-    "adj_grid": lambda s, d: edges(s, d).groupBy(F.expr("src div 100").alias("row_bin"), F.expr("dst div 100").alias("col_bin")).agg(F.count(F.lit(1)).alias("cnt"), F.max("w").alias("max_w")),
-    "edge_head10": lambda s, d: edges(s, d).orderBy("src", "dst").limit(10),
-    "top10_degree": lambda s, d: g.out_degree(edges(s, d)).orderBy(F.desc("degree"), "vertex").limit(10),
-    "adj_binary": lambda s, d: edges(s, d).select("src", "dst", F.when(F.col("w") > 0, 1.0).otherwise(0.0).alias("present")),
-    "degree_histogram": lambda s, d: g.out_degree(edges(s, d)).groupBy("degree").agg(F.count(F.lit(1)).alias("vertices")),
+    "adj_grid": lambda s, d, most=THIN: edges(s, d, most).groupBy(F.expr("src div 100").alias("row_bin"), F.expr("dst div 100").alias("col_bin")).agg(F.count(F.lit(1)).alias("cnt"), F.max("w").alias("max_w")),
+    "edge_head10": lambda s, d, most=THIN: edges(s, d, most).orderBy("src", "dst").limit(10),
+    "top10_degree": lambda s, d, most=THIN: g.out_degree(edges(s, d, most)).orderBy(F.desc("degree"), "vertex").limit(10),
+    "adj_binary": lambda s, d, most=THIN: edges(s, d, most).select("src", "dst", F.when(F.col("w") > 0, 1.0).otherwise(0.0).alias("present")),
+    "degree_histogram": lambda s, d, most=THIN: g.out_degree(edges(s, d, most)).groupBy("degree").agg(F.count(F.lit(1)).alias("vertices")),
 }
 ORACLE |= {
     "csr_entries": f"{E} SELECT src, row_number() OVER (PARTITION BY src ORDER BY dst) AS slot, dst, w FROM e",
@@ -83,28 +90,28 @@ def _top(e):
     return g.top_degree_root(e).selectExpr("vertex root")
 
 
-def _directions(s, d):
-    e, log = edges(s, d), []
+def _directions(s, d, most=THIN):
+    e, log = edges(s, d, most), []
     h.bfs_multi(e, _top(e), log=log)
     return s.createDataFrame(log, "level int, size long, volume long, bottom_up int")
 
 
-def _tree(s, d):
-    return h.bfs_multi(e := edges(s, d), _top(e))
+def _tree(s, d, most=THIN):
+    return h.bfs_multi(e := edges(s, d, most), _top(e))
 
 
-def _searches(s, d):
-    e = edges(s, d)
+def _searches(s, d, most=THIN):
+    e = edges(s, d, most)
     return h.searches(e, h.bfs_multi(e, h.sample_roots(e)))
 
 
-def _indptr(s, d):
-    e = edges(s, d)
+def _indptr(s, d, most=THIN):
+    e = edges(s, d, most)
     return h.row_pointers(e, h.vertices_n(e), 512)
 
 
-def _paths(s, d):
-    e = edges(s, d)
+def _paths(s, d, most=THIN):
+    e = edges(s, d, most)
     return e, h.with_parents(e, h.sssp_multi(e, _top(e), 0.1))
 
 
@@ -115,15 +122,15 @@ QUERIES |= {
     "exact_edges": lambda s, d: k.exact(s, 5),
     "scramble_compatible": lambda s, d: s.range(1 << SCALE).selectExpr("id vertex", f"{k.compatible_sql('id', SCALE)} scrambled"),
     "csr_indptr": _indptr,
-    "bfs_tree": lambda s, d: _tree(s, d).select("vertex", "depth", "parent"),
+    "bfs_tree": lambda s, d, most=THIN: _tree(s, d, most).select("vertex", "depth", "parent"),
     "bfs_directions": _directions,
-    "validate_bfs": lambda s, d: h.validate_bfs(edges(s, d), _tree(s, d), strict=True),
-    "validate_sssp": lambda s, d: h.validate_sssp(*_paths(s, d)),
-    "bench_roots": lambda s, d: h.sample_roots(edges(s, d)),
+    "validate_bfs": lambda s, d, most=THIN: h.validate_bfs(edges(s, d, most), _tree(s, d, most), strict=True),
+    "validate_sssp": lambda s, d, most=THIN: h.validate_sssp(*_paths(s, d, most)),
+    "bench_roots": lambda s, d, most=THIN: h.sample_roots(edges(s, d, most)),
     "bench_searches": _searches,
-    "edgelist_lines": lambda s, d: files.edge_lines(edges(s, d)),
-    "teps_stats": lambda s, d: h.rate_stats(g.out_degree(edges(s, d)).selectExpr("cast(degree as double) teps")),
-    "degree_bins": lambda s, d: h.histogram(g.out_degree(edges(s, d)).selectExpr("cast(degree as double) x"), "x", 5),
+    "edgelist_lines": lambda s, d, most=THIN: files.edge_lines(edges(s, d, most)),
+    "teps_stats": lambda s, d, most=THIN: h.rate_stats(g.out_degree(edges(s, d, most)).selectExpr("cast(degree as double) teps")),
+    "degree_bins": lambda s, d, most=THIN: h.histogram(g.out_degree(edges(s, d, most)).selectExpr("cast(degree as double) x"), "x", 5),
 }
 _MIX = "SELECT id, l, xor(x, x >> 16) / 4294967296.0::DOUBLE AS r FROM (SELECT id, l, (xor(x, x >> 15) * -2073254261) & 4294967295 AS x FROM (SELECT id, l, (xor(x, x >> 16) * 2146121005) & 4294967295 AS x FROM (SELECT id, l, ((((id * 64 + l) & 4294967295) * -1640531535) + 1701126) & 4294967295 AS x FROM {})))"
 _LEVELS = f"(SELECT id, l FROM range({16 << SCALE}) t(id), (SELECT range AS l FROM range({SCALE}) UNION ALL SELECT 63))"
@@ -141,3 +148,8 @@ ORACLE |= {
     "edgelist_lines": f"{E} SELECT concat(src, chr(9), dst, chr(9), printf('%.6f', w)) AS line FROM e",
     "teps_stats": f"{E}, {DEG}, t AS (SELECT cast(degree AS DOUBLE) AS x FROM deg WHERE vertex < 200), n AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS i, count(*) OVER () - 1 AS m FROM t) SELECT min(x) AS min, max(CASE WHEN i = floor(0.25 * m) THEN x END) AS q1, median(x) AS median, max(CASE WHEN i = floor(0.75 * m) THEN x END) AS q3, max(x) AS max, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS sd, round(count(*) / sum(1 / x), 6) AS harmonic FROM n",
 }
+
+#: The same queries over all of lineitem; no SQL where that of the thinned graph is bound to its ids.
+WHOLE = [name for name in QUERIES if name not in ("rmat_edges", "kron_prob", "exact_edges", "scramble_compatible")]
+QUERIES |= {f"{name}_whole": partial(QUERIES[name], most=None) for name in WHOLE}
+ORACLE |= {f"{name}_whole": ORACLE[name].replace(" WHERE l_quantity <= 3", "") for name in WHOLE if name in ORACLE and name not in ("csr_indptr", "teps_stats")}
