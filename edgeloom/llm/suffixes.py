@@ -20,6 +20,7 @@ from . import tokens as t
 
 SLICE = 4 << 20
 PLACE_BITS = 28
+PART = 64 << 20
 
 
 def segments(data, offs, window, gram):
@@ -27,8 +28,6 @@ def segments(data, offs, window, gram):
     n = len(data)
     if n < window:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    if n >= 1 << PLACE_BITS:
-        raise ValueError("a text of 256 MB or more")
     g = t.mix(t.grams(t.BYTE[data], gram))
     low = t.U((1 << PLACE_BITS) - 1)
     least = t.sliding_min((g & ~low) | np.arange(len(g), dtype=np.uint64), window - gram + 1)
@@ -42,6 +41,16 @@ def segments(data, offs, window, gram):
     return row[heads], at[heads], np.diff(np.append(heads, len(at))), g[anchor[heads]]
 
 
+def parts(data, offs, window, most):
+    """(shift, bytes, offsets) of slices; one text of more bytes is cut so that each window is in one part."""
+    if len(offs) > 2 or len(data) < most + window:
+        yield 0, data, offs
+        return
+    for at in range(0, len(data) - window + 1, most):
+        part = data[at : at + most + window - 1]
+        yield at, part, np.array([0, len(part)])
+
+
 def spread_out(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """begin[i], begin[i] + 1, .. for each i."""
     ends = np.cumsum(size)
@@ -51,21 +60,22 @@ def spread_out(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 def marked(docs: DataFrame, window: int, gram: int, bins: int) -> DataFrame:
     def deal(batches):
         for batch, lo, hi, data, offs in c.text_slices(batches, SLICE):
-            row, at, count, anchor = segments(data, offs, window, gram)
-            if not len(row):
-                continue
-            doc, begin = c.longs(batch, "doc_id")[lo:hi][row], at - offs[row]
-            whole = t.mix(t.range_hashes(t.BYTE[data], at, at + count + window - 1) + count.astype(np.uint64))
-            seen = r.later(whole, doc, begin)
-            yield r.marks(doc[seen], begin[seen], count[seen], bins)
-            k = np.flatnonzero(~seen)
-            target = (anchor[k] % t.U(bins)).astype(np.int32)
-            order = np.argsort(target, kind="stable")
-            k, target = k[order], target[order]
-            for part in np.split(np.arange(len(k)), np.flatnonzero(np.diff(target)) + 1):
-                p = k[part]
-                block = c.pack(anchor[p], doc[p], begin[p].astype(np.int32), count[p].astype(np.uint8), data[spread_out(at[p], count[p] + window - 1)])
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([target[part[0]]], pa.int32()), pa.array([block], pa.binary())], schema=r.BLOCK)
+            for shift, part, bounds in parts(data, offs, window, PART):
+                row, at, count, anchor = segments(part, bounds, window, gram)
+                if not len(row):
+                    continue
+                doc, begin = c.longs(batch, "doc_id")[lo:hi][row], at - bounds[row] + shift
+                whole = t.mix(t.range_hashes(t.BYTE[part], at, at + count + window - 1) + count.astype(np.uint64))
+                seen = r.later(whole, doc, begin)
+                yield r.marks(doc[seen], begin[seen], count[seen], bins)
+                k = np.flatnonzero(~seen)
+                target = (anchor[k] % t.U(bins)).astype(np.int32)
+                order = np.argsort(target, kind="stable")
+                k, target = k[order], target[order]
+                for one in np.split(np.arange(len(k)), np.flatnonzero(np.diff(target)) + 1):
+                    p = k[one]
+                    block = c.pack(anchor[p], doc[p], begin[p].astype(np.int32), count[p].astype(np.min_scalar_type(window - gram + 1)), part[spread_out(at[p], count[p] + window - 1)])
+                    yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([target[one[0]]], pa.int32()), pa.array([block], pa.binary())], schema=r.BLOCK)
 
     def aligned(table: pa.Table) -> pa.Table:
         table, blocks = r.settled(table)
