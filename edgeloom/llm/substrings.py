@@ -1,12 +1,11 @@
-"""Substring dedup over words by prefix-partitioned suffix trees.
+"""Substring dedup over words by windows dealt out by prefixes; they stand in for prefix-partitioned suffix trees.
 
 Only suffixes of ``window`` words or more matter, cut there. They are dealt out by variable-length prefixes: a prefix
 of 1 word if few suffixes begin with it, else of 2, 4, 8 or all ``window`` words, so that a group fits into memory
-(all counted over the whole corpus first). A group's subtree is held as its leaves sorted by the fingerprint of their
-first ``window`` words: neighbours of equal fingerprints lie below one internal node of that depth, and every leaf of
-such a node but the earliest starts a repeat. Fingerprints have 64 bits; the edge labels themselves aren't stored.
-Each task first settles the repeats among its own suffixes, so that a passage in a third of all rows sends one suffix
-from each slice.
+(all counted over the whole corpus first). In a group the 64-bit fingerprints of the first ``window`` words are sorted:
+of suffixes with equal ones, every one but the earliest starts a repeat. No tree is built: there are no internal nodes,
+common-prefix lengths or maximal repeats, and the prefix only chooses the task; see README. Each task first settles the
+repeats among its own suffixes, so that a passage in a third of all rows sends one suffix from each slice.
 
 Null and empty texts have no words. Texts with fewer words than a window keep all. Repeated rows of one doc_id are one
 document (see common). An empty table gives an empty table.
