@@ -176,3 +176,8 @@ def test_long_hit_spans_are_removed(spark, tmp_path):
             assert got[key]["n_chars"] == (7 if key in (3, 4) else len(" ".join(want)))
     left = decontam.scan(docs.sparkSession.createDataFrame([(k, r["text"]) for k, r in got.items()], "doc_id long, text string"), bench)
     assert left.selectExpr("explode(spans) s").where("s[1] - s[0] >= 13").count() == 0
+
+
+def test_repeated_template_words_are_one_token(spark):
+    df = spark.createDataFrame([(1, "permission hereby " * 16)], "doc_id long, text string")
+    assert license.scan(df).first()["score"] == 0.0
