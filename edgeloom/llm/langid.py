@@ -1,30 +1,33 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
 Trained in numpy on the driver by backpropagation through time, on at most SAMPLE windows of WINDOW bytes for each
-language (a documented bound), cut at hashed places from the labelled documents that are not held out. Every byte of a
-text is labelled by the states of both directions; a document's probabilities are the means over its bytes.
-
-A null text, or one without a letter, is ``und`` with score 0. Without any labelled row every document is ``und``.
-Repeated rows of one doc_id are one document. Predictions see the text alone.
+language and at most TOTAL windows in all (documented bounds), cut at hashed places from the labelled documents that are
+not held out. Every byte of a text is labelled by the states of both directions; a document's probabilities are the
+means over its bytes. Long texts are read in chunks of CHUNK bytes, each with CONTEXT bytes on either side, so that a
+text of any length needs bounded memory and all of its bytes count.
+
+A null text, or one without a letter (Unicode category L), is ``und`` with score 0. Without any labelled row every
+document is ``und``. Equally probable languages: the first in alphabetical order. Repeated rows of one doc_id are one
+document. Predictions see the text alone.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as c
 
 SAMPLE, WINDOW, HIDDEN, STEPS, BATCH = 1500, 96, 16, 450, 96
-CHUNK, CONTEXT, ROWS = 192, 24, 1024
-MAX_LANGS = 256
+TOTAL = 64 * SAMPLE
+CHUNK, CONTEXT, ROWS = 384, 24, 1024
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -111,10 +114,61 @@ def train(x: np.ndarray, y: np.ndarray, langs: int, steps: int = STEPS, seed: in
     return p
 
 
+def by_gate(p):
+    """Input and recurrent weights of each gate apart, those of the two sigmoid gates halved: sigmoid(x) is 0.5 + 0.5 tanh(x / 2)."""
+    inputs = p["in"].reshape(2, 256, 3, HIDDEN).transpose(2, 0, 1, 3).copy()
+    again = p["re"].reshape(2, HIDDEN, 3, HIDDEN).transpose(2, 0, 1, 3).copy()
+    inputs[:2] *= np.float32(0.5)
+    again[:2] *= np.float32(0.5)
+    return inputs, again, p["out"].reshape(2, HIDDEN, -1).copy(), p["bias"]
+
+
+def position_logits(gates, x):
+    """(steps, rows, languages) of x, (steps, rows) bytes: as probabilities(states()), in place and without the states."""
+    inputs, again, out, _ = gates
+    steps, rows = x.shape
+    made = np.empty((2, steps, rows, out.shape[2]), np.float32)
+    h = np.zeros((2, rows, HIDDEN), np.float32)
+    z, r, n, a = (np.empty_like(h) for _ in range(4))
+    x = x.astype(np.intp)
+    half = np.float32(0.5)
+    for t in range(steps):
+        here, there = x[t], x[steps - 1 - t]
+        for k, gate in ((0, z), (1, r), (2, n)):
+            np.matmul(h, again[k], out=gate)
+            if k == 2:
+                gate *= r
+            np.take(inputs[k, 0], here, axis=0, out=a[0], mode="clip")
+            np.take(inputs[k, 1], there, axis=0, out=a[1], mode="clip")
+            gate += a
+            np.tanh(gate, out=gate)
+            if k < 2:
+                gate *= half
+                gate += half
+        h -= n
+        h *= z
+        h += n
+        np.dot(h[0], out[0], out=made[0, t])
+        np.dot(h[1], out[1], out=made[1, steps - 1 - t])
+    made[0] += made[1]
+    return made[0]
+
+
+def summed(gates, logits, use):
+    """(rows, languages): the probabilities of the used positions, added up."""
+    steps, rows, langs = logits.shape
+    e = np.ascontiguousarray(logits.reshape(-1, langs).T)
+    e += gates[3][:, None]
+    e -= e.max(0)
+    np.exp(e, out=e)
+    e *= np.ascontiguousarray(use.T).reshape(-1) / e.sum(0)
+    return e.reshape(langs, steps, rows).sum(1).T
+
+
 def text_probabilities(p: dict, texts: list[bytes]) -> np.ndarray:
     """Mean probabilities over all bytes of each text; texts are cut into chunks that overlap by CONTEXT on each side."""
-    langs = len(p["bias"])
-    total = np.zeros((len(texts), langs))
+    gates = by_gate(p)
+    total = np.zeros((len(texts), len(p["bias"])))
     pieces = [(i, a) for i, text in enumerate(texts) for a in range(0, len(text), CHUNK)]
     pieces.sort(key=lambda q: min(len(texts[q[0]]) - q[1], CHUNK))
     for lo in range(0, len(pieces), ROWS):
@@ -128,24 +182,10 @@ def text_probabilities(p: dict, texts: list[bytes]) -> np.ndarray:
             at = CONTEXT - (a - begin)
             x[k, at : at + len(cut)] = np.frombuffer(cut, np.uint8)
             use[k, CONTEXT : CONTEXT + min(width, len(texts[i]) - a)] = 1
-        prob = probabilities(p, states_only(p, x.T))
-        np.add.at(total, [i for i, _ in part], np.einsum("trl,rt->rl", prob, use))
+        np.add.at(total, [i for i, _ in part], summed(gates, position_logits(gates, x.T), use))
     return total / np.maximum(1, np.array([len(x) for x in texts]))[:, None]
 
 
-def states_only(p, x):
-    hs = np.empty((len(x), 2, x.shape[1], HIDDEN), np.float32)
-    h = np.zeros((2, x.shape[1], HIDDEN), np.float32)
-    for t in range(len(x)):
-        a = np.stack([p["in"][0][x[t]], p["in"][1][x[-1 - t]]])
-        u = h @ p["re"]
-        zr = 0.5 + 0.5 * np.tanh(0.5 * (a[..., : 2 * HIDDEN] + u[..., : 2 * HIDDEN]))
-        n = np.tanh(a[..., 2 * HIDDEN :] + zr[..., HIDDEN:] * u[..., 2 * HIDDEN :])
-        h = n + zr[..., :HIDDEN] * (h - n)
-        hs[t] = h
-    return hs
-
-
 def held_out(doc_id="doc_id"):
     return F.expr(f"coalesce(crc32(cast(cast({doc_id} as string) as binary)) % 5 = 0, false)")
 
@@ -153,29 +193,31 @@ def held_out(doc_id="doc_id"):
 def fit(docs: DataFrame) -> tuple[list[str], dict] | None:
     """Languages and network, from labelled rows that are not held out."""
     rows = docs.select("doc_id", "text", "lang").where("lang is not null and length(trim(text)) > 0").where(~held_out())
-    sizes = rows.groupBy("lang").count().orderBy("lang").limit(MAX_LANGS + 1).collect()
-    if len(sizes) > MAX_LANGS:
-        raise ValueError("more than MAX_LANGS languages")
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return None
-    langs = [r["lang"] for r in sizes]
-    rate = F.lit(None)
-    for r in sizes:
-        rate = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 1.3 * SAMPLE / r["count"]))).otherwise(rate)
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < rate * (1 << 20))
+    each = max(1, min(SAMPLE, TOTAL // len(sizes)))
+    rates = F.create_map(*(F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, 1.3 * each / n))))
+    drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < F.element_at(rates, F.col("lang")) * (1 << 20))
+
+    edge = bytes(CONTEXT)  # as beyond the ends of a text when it is read
 
     def cut(batches):
         for batch in batches:
             out = []
             for key, text, lang in zip(*(c.column(batch, k).to_pylist() for k in ("doc_id", "text", "lang"))):
-                raw = text.encode()
+                raw = edge + text.encode() + edge
                 at = zlib.crc32(f"{key} place".encode()) % max(1, len(raw) - WINDOW + 1)
-                out.append((zlib.crc32(f"{key} order".encode()), lang, raw[at : at + WINDOW].ljust(WINDOW, b" ")))
+                out.append((zlib.crc32(f"{key} order".encode()), lang, raw[at : at + WINDOW].ljust(WINDOW, b"\0")))
             cols = zip(*out) if out else [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, (pa.int64(), pa.string(), pa.binary()))], names=["place", "lang", "window"])
 
-    got = drawn.mapInArrow(cut, "place long, lang string, window binary").orderBy("place", "lang", "window").limit(2 * SAMPLE * len(langs)).collect()
+    first = Window.partitionBy("lang").orderBy("place", "window")
+    made = drawn.mapInArrow(cut, "place long, lang string, window binary").withColumn("nth", F.row_number().over(first))
+    got = made.where(F.col("nth") <= each).orderBy("lang", "nth").collect()
     langs = sorted({r["lang"] for r in got})
+    if not langs:
+        return None
     x = np.stack([np.frombuffer(bytes(r["window"]), np.uint8) for r in got])
     return langs, train(x, np.array([langs.index(r["lang"]) for r in got]), len(langs))
 
@@ -188,7 +230,7 @@ def identify(docs: DataFrame) -> DataFrame:
         for batch in batches:
             ids = c.column(batch, "doc_id")
             texts = c.column(batch, "text").to_pylist()
-            for lo, hi in c.slices(np.cumsum([0, *(len(x or "") for x in texts)]), 1 << 19):
+            for lo, hi in c.slices(np.cumsum([0, *(len(x or "") for x in texts)]), 1 << 20):
                 part = texts[lo:hi]
                 known = [bool(model.value and x and LETTER.search(x)) for x in part]
                 pred, score = [UNDETERMINED] * len(part), np.zeros(len(part))
@@ -201,9 +243,3 @@ def identify(docs: DataFrame) -> DataFrame:
 
     made = c.own_id(c.documents(docs).mapInArrow(rows, "doc_id long, lang_pred string, score double"))
     return made.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
-
-
-def keep_known(docs: DataFrame) -> DataFrame:
-    """The documents with a language, with all their columns; those without a letter go."""
-    bad = identify(docs).where(F.col("lang_pred") == UNDETERMINED).select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
