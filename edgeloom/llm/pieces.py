@@ -1,54 +1,67 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-The vocabulary is compiled into a trie of states over characters, its arcs to a final state carrying the piece's id and
-the cost ``-score``; a byte-fallback arc reads any character and writes its byte pieces at a cost above every piece's.
-The normaliser puts a space before the text and turns every space into U+2581; a U+2581 in the text itself goes through
-byte fallback, so that decoding gives the text back. Composed with an input, the shortest path in the tropical
-semiring (least total cost; ties: the longer last piece) is the encoding. Since no piece has U+2581 behind another
-character (checked when compiled), the path falls apart at such places, and each unit is solved once and remembered in
-a bounded store.
-
-The least total cost isn't always what merging in rank order gives, so ids can differ from the merging encoder's of the
-same vocabulary; both decode to the same text. Null is an empty text: no ids. Repeated rows of one doc_id are one
-document. An empty table gives an empty table.
+Three machines are compiled once. The normaliser has one state: it reads a character and writes it, but for a space,
+which it writes as U+2581, and for a U+2581, for which it writes nothing that a piece could read. The lexicon is a trie
+of the pieces, with the piece's id and cost at its final states. Byte fallback reads any character and writes its byte
+pieces at a cost above every piece's. Normaliser and lexicon are composed at compile time, so that the trie's arcs read
+the text itself. Composed with an input, the shortest path in the tropical semiring (least total cost; ties: the longer
+last piece) is the encoding. A space is put before each text that is not empty; decoding takes it away again.
+
+No path crosses a place whose two neighbouring bytes never stand next to each other in a piece, so a text falls apart
+there into units, and each distinct unit is solved once for a batch and remembered in a bounded store.
+
+The vocabulary was made for merging by rank and has ranks in place of log probabilities, so a piece of rank r costs
+4 + ln(20 + r): few pieces first, then frequent ones. The least total isn't always what merging gives, so ids can
+differ from the merging encoder's of the same vocabulary (see README for the share); both decode to the same text.
+
+Null is an empty text: no ids. A text of any length is taken whole. Repeated rows of one doc_id are one document. An
+empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
-import re
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import common as c
+from . import units as u
 
 SPACE = "\u2581"
-#: Stands for a U+2581 of the text; a lone surrogate, which no text holds.
-RAW_SPACE = "\udc81"
-UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-REMEMBERED = 200_000
-LONGEST_REMEMBERED = 40
+SLICE = 4 << 20
 SCHEMA = "doc_id long, ids array<int>, text string"
 
 
-def normalise(text: str) -> str:
-    return SPACE + text.replace(SPACE, RAW_SPACE).replace(" ", SPACE)
+def normalised(ch: str) -> str | None:
+    """What the normaliser writes for a character; None: nothing that a piece reads."""
+    return {" ": SPACE, SPACE: None}.get(ch, ch)
+
+
+def readings(piece: str) -> str:
+    """The text that the normaliser turns into this piece."""
+    return piece.replace(SPACE, " ")
 
 
 class Transducer:
+    """Normaliser o lexicon, and byte fallback beside it; see the module."""
+
     def __init__(self, pieces: list[tuple[str, int, float]], byte_ids: list[int]):
-        self.byte_ids = byte_ids
         self.trie: list[dict] = [{}]
         self.final: list[tuple[int, float] | None] = [None]
-        self.text = {i: p for p, i, _ in pieces}
-        self.byte_of = {i: b for b, i in enumerate(byte_ids)}
+        self.joined = np.zeros((256, 256), bool)
+        self.joined[:, 0x80:0xC0] = True  # never inside a character
         for piece, i, score in pieces:
+            text = readings(piece)
+            if any(normalised(x) != y for x, y in zip(text, piece)):
+                raise ValueError(f"no text is normalised to piece {piece!r}")
             if SPACE in piece.lstrip(SPACE):
                 raise ValueError(f"piece {piece!r} spans words")
             state = 0
-            for ch in piece:
+            for ch in text:
                 nxt = self.trie[state].get(ch)
                 if nxt is None:
                     nxt = self.trie[state][ch] = len(self.trie)
@@ -56,8 +69,16 @@ class Transducer:
                     self.final.append(None)
                 state = nxt
             self.final[state] = (i, -score)
+            raw = text.encode()
+            for x, y in zip(raw, raw[1:]):
+                self.joined[x, y] = True
         self.fallback = 10.0 + max((-s for _, _, s in pieces), default=0.0)
-        self.seen: dict[str, list[int]] = {}
+        self.byte_ids = byte_ids
+        raw = {i: readings(p).encode() for p, i, _ in pieces} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
+        size = np.array([len(raw.get(i, b"")) for i in range(max(raw) + 1)], np.int64)
+        self.size, self.begin = size, np.cumsum(size) - size
+        self.raw = np.frombuffer(b"".join(raw.get(i, b"") for i in range(len(size))), np.uint8)
+        self.store = u.Store(lambda units: [np.array(self.shortest(x.decode()), "<u4").tobytes() for x in units])
 
     def shortest(self, unit: str) -> list[int]:
         n = len(unit)
@@ -74,9 +95,10 @@ class Transducer:
                 end = final[state]
                 if end is not None and here + end[1] < cost[j]:
                     cost[j], back[j] = here + end[1], (i, end[0])
-            raw = (SPACE if unit[i] == RAW_SPACE else unit[i]).encode()
-            if here + self.fallback * len(raw) < cost[i + 1]:
-                cost[i + 1], back[i + 1] = here + self.fallback * len(raw), (i, [self.byte_ids[b] for b in raw])
+            if here + self.fallback < cost[i + 1]:
+                raw = unit[i].encode()
+                if here + self.fallback * len(raw) < cost[i + 1]:
+                    cost[i + 1], back[i + 1] = here + self.fallback * len(raw), (i, [self.byte_ids[b] for b in raw])
         out, at = [], n
         while at:
             at, made = back[at]
@@ -86,57 +108,85 @@ class Transducer:
             flat += made if isinstance(made, list) else [made]
         return flat
 
+    def encode_all(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many texts one after the other, and where each text's begin; data, offs: their bytes."""
+        some = np.flatnonzero(np.diff(offs))
+        data = np.insert(data, offs[some], 32)
+        begin = offs[some] + np.arange(len(some))
+        cut = np.ones(len(data), bool)
+        cut[1:] = ~self.joined[data[:-1], data[1:]]
+        cut[begin] = True
+        bounds = np.append(np.flatnonzero(cut), len(data))
+        ids, at = u.gathered(data, bounds, np.ones(len(bounds) - 1, bool), self.store)
+        count = np.zeros(len(offs) - 1, np.int64)
+        count[some] = np.diff(np.append(at[np.searchsorted(bounds, begin)], len(ids)))
+        return ids, np.concatenate([[0], np.cumsum(count)])
+
+    def decode_all(self, ids: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the texts that have these ids, and where each text's begin."""
+        size = self.size[ids]
+        data = self.raw[u.spread_out(self.begin[ids], size)]
+        ends = np.concatenate([[0], np.cumsum(size)])[offs]
+        some = np.flatnonzero(np.diff(ends))
+        data = np.delete(data, ends[some])
+        return data, ends - np.searchsorted(some, np.arange(len(ends)))
+
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        out: list[int] = []
-        seen = self.seen
-        for unit in UNIT.findall(normalise(text)):
-            ids = seen.get(unit)
-            if ids is None:
-                ids = self.shortest(unit)
-                if len(unit) <= LONGEST_REMEMBERED:
-                    if len(seen) >= REMEMBERED:
-                        seen.clear()
-                    seen[unit] = ids
-            out += ids
-        return out
+        return self.encode_all(*c.utf8(pa.array([text])))[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
-        out = bytearray()
-        for i in ids:
-            b = self.byte_of.get(i)
-            if b is None:
-                out += self.text[i].replace(SPACE, " ").encode()
-            else:
-                out.append(b)
-        return out.decode()[1:]
+        return self.decode_all(np.array(ids, np.int64), np.array([0, len(ids)]))[0].tobytes().decode()
 
 
+@functools.lru_cache(maxsize=1)
 def load(model_bytes: bytes) -> Transducer:
     from sentencepiece import SentencePieceProcessor
 
     m = SentencePieceProcessor(model_proto=model_bytes)
     ids = range(m.get_piece_size())
-    pieces = [(m.id_to_piece(i), i, m.get_score(i)) for i in ids if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))]
+    pieces = [(m.id_to_piece(i), i, -(4 + math.log(20 - m.get_score(i)))) for i in ids if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))]
     by_byte = {int(m.id_to_piece(i)[3:5], 16): i for i in ids if m.is_byte(i)}
     return Transducer(pieces, [by_byte[b] for b in range(256)])
 
 
-def encode(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, ids, and the text decoded from the ids."""
+def made(docs: DataFrame, model_path: str, columns, schema: str) -> DataFrame:
+    """doc_id and columns(ids, where each text's begin, decoded bytes, where each text's begin)."""
     with open(model_path, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def rows(batches):
         machine = load(model.value)
-        for batch in batches:
-            ids, texts = c.column(batch, "doc_id"), c.column(batch, "text").to_pylist()
-            for lo, hi in c.slices(np.cumsum([0, *(len(x or "") for x in texts)]), 1 << 20):
-                made = [machine.encode(x or "") for x in texts[lo:hi]]
-                yield pa.RecordBatch.from_arrays([ids[lo:hi], pa.array(made, pa.list_(pa.int32())), pa.array([machine.decode(x) for x in made])], names=["doc_id", "ids", "text"])
+        for batch, lo, hi, data, offs in c.text_slices(batches, SLICE):
+            ids, at = machine.encode_all(data, offs)
+            cols = {"doc_id": c.column(batch, "doc_id")[lo:hi]} | columns(ids, at, *machine.decode_all(ids, at))
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+    return c.own_id(c.documents(docs).mapInArrow(rows, schema))
+
+
+def encode(docs: DataFrame, model_path: str) -> DataFrame:
+    """doc_id, ids, and the text decoded from the ids."""
+
+    def columns(ids, at, data, offs):
+        lists = pa.LargeListArray.from_arrays(pa.array(at), pa.array(ids.astype(np.int32))).cast(pa.list_(pa.int32()))
+        texts = pa.Array.from_buffers(pa.large_string(), len(offs) - 1, [None, pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(data)])
+        return {"ids": lists, "text": texts.cast(pa.string())}
+
+    return made(docs, model_path, columns, SCHEMA)
+
+
+def each_sha256(data: bytes, offs: list[int]) -> pa.Array:
+    view = memoryview(data)
+    return pa.array([hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(offs, offs[1:])], pa.string())
+
+
+def digests(docs: DataFrame, model_path: str) -> DataFrame:
+    """digest(encode()) in one pass, without sending ids and texts through the engine."""
+
+    def columns(ids, at, data, offs):
+        return {"n_tokens": pa.array(np.diff(at)), "ids_sha256": each_sha256(ids.astype("<u4").tobytes(), (4 * at).tolist()), "decoded_sha256": each_sha256(data.tobytes(), offs.tolist())}
 
-    return c.own_id(c.documents(docs).mapInArrow(rows, SCHEMA))
+    return made(docs, model_path, columns, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def digest(encoded: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ def op1(spark, d):
 def op2(spark, d):
     import public_tokenizers
 
-    return pieces.digest(pieces.encode(c.table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
+    return pieces.digests(c.table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op3(spark, d):
