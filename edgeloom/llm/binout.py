@@ -5,8 +5,13 @@ more are escapes: the block stores their places and values apart and a zero in t
 in ascending doc_id order, with the lengths of each and the offset of the block's first id, so that any block decodes
 alone. Null texts are empty and get the end id only; an empty table gives no blocks.
 
-Where no token of a tokenizer can span a space (see ``apart_at_spaces``), the library encodes each distinct stretch
-between spaces once and the ids are remembered in a bounded store; else it encodes whole texts. Both give the same ids.
+Where no token of a tokenizer can span a space (see ``apart_at_spaces``), the ids of a text are those of its units: the
+stretches between ASCII white space; ASCII stretches without an apostrophe or a control character fall apart further into
+runs of letters, digits and runs of other characters, with A-Z lowered, as the tokenizer does itself. Each distinct unit
+of a batch is encoded once by the library and the ids are remembered in a bounded store. Texts that hold the beginning
+of an added token, and all texts of other tokenizers, are encoded whole. Both give the same ids.
+
+Texts of any length are taken whole (a block holds one document at least). Repeated rows of one doc_id are one document.
 """
 
 from __future__ import annotations
@@ -14,7 +19,6 @@ from __future__ import annotations
 import functools
 import json
 import os
-import re
 import zlib
 from array import array
 
@@ -25,23 +29,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as c
+from . import tokens as t
+from . import units as u
+from .units import LONGEST_REMEMBERED  # noqa: F401
 
 #: Bits of an id for each selector; a word holds 60 // bits ids.
 WIDTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 COUNTS = 60 // WIDTHS
 BLOCK_IDS = 1 << 16
 BLOCK = "part int, block long, first long, ids_n long, doc_ids binary, lengths binary, n_words long, words binary, escapes binary"
-
-
-REMEMBERED, LONGEST_REMEMBERED = 500_000, 40
+SLICE = 4 << 20
 
 # The steps known to treat the stretches between ASCII spaces apart.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-#: A letter that the normaliser leaves one letter, then marks at the end: two matches of SPLIT, whatever goes before.
-TAIL = re.compile(r"(?<=[A-Za-zß-öø-ÿ])[*#$%&.,;:!?)]+$")
+#: What a byte is: ASCII white space, a digit, a letter, another printable character, or one that keeps a stretch whole.
+BLANK, DIGIT, LETTER, OTHER, ODD = range(5)
+KIND = np.full(256, ODD, np.uint8)
+KIND[33:127] = OTHER
+KIND[[32, *range(9, 14)]] = BLANK
+KIND[48:58] = DIGIT
+KIND[[*range(65, 91), *range(97, 123)]] = LETTER
+KIND[ord("'")] = ODD
 
 
 def apart_at_spaces(tokenizer: str) -> bool:
@@ -64,41 +75,63 @@ def apart_at_spaces(tokenizer: str) -> bool:
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, as little-endian unsigned 32-bit integers."""
+    """Ids of whole texts by the tokenizers library."""
 
     def __init__(self, tokenizer: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(tokenizer)
         self.apart = apart_at_spaces(tokenizer)
-        self.seen: dict[str, bytes] = {}
+        self.added = [x["content"][:2].lower().encode() for x in json.loads(tokenizer).get("added_tokens", ())]
+        self.store = u.Store(lambda units: self.whole([x.decode() for x in units]))
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    @property
+    def seen(self) -> dict[bytes, bytes]:
+        return self.store.seen
+
     def ids(self, texts: list[str]) -> list[bytes]:
-        if not self.apart:
-            return self.whole(texts)
-        if len(self.seen) > REMEMBERED:
-            self.seen = {}
-        seen, out = self.seen, []
-        for text in texts:
-            units = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            split = {}
-            for u in units:
-                if u not in seen and u not in split:
-                    m = TAIL.search(u)
-                    split[u] = (u,) if m is None else (u[: m.start()], m[0])
-            fresh = [x for x in dict.fromkeys(y for z in split.values() for y in z) if x not in seen]
-            seen.update(zip(fresh, self.whole(fresh)))
-            for u, z in split.items():
-                if len(z) > 1:
-                    seen[u] = seen[z[0]] + seen[z[1]]
-            out.append(b"".join([seen[u] for u in units]))
-            for u in [*split, *fresh]:
-                if len(u) > LONGEST_REMEMBERED:
-                    seen.pop(u, None)
-        return out
+        ids, at = self.ids_of(*c.utf8(pa.array(texts, pa.large_string())))
+        return [ids[a:b].astype("<u4").tobytes() for a, b in zip(at, at[1:])]
+
+    def ids_of(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many texts one after the other, and where each text's begin; data, offs: their bytes."""
+        n = len(offs) - 1
+        low = t.LOWER[data]
+        raw = low.tobytes()
+        plain = np.full(n, self.apart)
+        for x in self.added:
+            at = raw.find(x)
+            while at >= 0:
+                row = int(np.searchsorted(offs, at, "right")) - 1
+                plain[row] = False
+                at = raw.find(x, int(offs[row + 1]))
+        kind = KIND[low]
+        first = np.zeros(len(data), bool)
+        first[offs[:-1][np.diff(offs) > 0]] = True
+        cut = first.copy()
+        cut[1:] |= kind[1:] != kind[:-1]
+        cut |= kind == DIGIT
+        word = kind != BLANK
+        begins = first & word
+        begins[1:] |= word[1:] & ~word[:-1]
+        stretch = np.cumsum(begins) - 1
+        odd = np.zeros(int(stretch[-1]) + 2 if n and len(data) else 1, bool)
+        odd[stretch[kind == ODD]] = True
+        whole = odd[stretch] & word
+        cut &= ~whole | begins
+        units = np.where(whole, data, low)
+        bounds = np.append(np.flatnonzero(cut), len(data))
+        ids, at = u.gathered(units, bounds, word[bounds[:-1]], self.store)
+        at = at[np.searchsorted(bounds, offs)]
+        if plain.all():
+            return ids, at
+        texts = [data[offs[i] : offs[i + 1]].tobytes().decode() for i in np.flatnonzero(~plain)]
+        made = iter(self.whole(texts))
+        parts = [ids[at[i] : at[i + 1]] if plain[i] else np.frombuffer(next(made), "<u4") for i in range(n)]
+        return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
 
 
 @functools.lru_cache(maxsize=1)
@@ -157,27 +190,33 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 1, path: str | Non
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         machine = encoder(model.value)
         part, block, first = TaskContext.get().partitionId(), 0, 0
-        keys, parts, size = [], [], 0
+        keys, parts, lengths, size = [], [], [], 0
 
         def flush():
-            nonlocal block, first, keys, parts, size
+            nonlocal block, first, keys, parts, lengths, size
             ids = np.concatenate(parts)
             words, at, values = encode(ids)
-            made = (part, block, first, len(ids), np.array(keys, "<i8").tobytes(), np.array([len(p) for p in parts], "<i8").tobytes(), len(words), words.astype("<u8").tobytes(), c.pack(at.astype("<i8"), values))
-            block, first, keys, parts, size = block + 1, first + len(ids), [], [], 0
+            made = (part, block, first, len(ids), np.concatenate(keys).astype("<i8").tobytes(), np.concatenate(lengths).astype("<i8").tobytes(), len(words), words.astype("<u8").tobytes(), c.pack(at.astype("<i8"), values))
+            block, first, keys, parts, lengths, size = block + 1, first + len(ids), [], [], [], 0
             types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
             names = ["part", "block", "first", "ids_n", "doc_ids", "lengths", "n_words", "words", "escapes"]
             return pa.RecordBatch.from_arrays([pa.array([x], y) for x, y in zip(made, types)], names=names)
 
-        for batch in batches:
-            ids, texts = c.column(batch, "doc_id").to_pylist(), c.column(batch, "text").to_pylist()
-            for lo in range(0, len(ids), 64):
-                for key, made in zip(ids[lo : lo + 64], machine.ids([x or "" for x in texts[lo : lo + 64]])):
-                    keys.append(key)
-                    parts.append(np.append(np.frombuffer(made, "<u4"), end_id).astype(np.uint64))
-                    size += len(parts[-1])
-                    if size >= BLOCK_IDS:
-                        yield flush()
+        for batch, lo, hi, data, offs in c.text_slices(batches, SLICE):
+            docs_ = c.longs(batch, "doc_id")[lo:hi]
+            ids, at = machine.ids_of(data, offs)
+            ids = np.insert(ids.astype(np.uint64), at[1:], np.uint64(end_id))
+            at = at + np.arange(len(at))
+            i = 0
+            while i < len(docs_):
+                j = min(len(docs_), max(i + 1, int(np.searchsorted(at, at[i] + BLOCK_IDS - size))))
+                keys.append(docs_[i:j])
+                parts.append(ids[at[i] : at[j]])
+                lengths.append(np.diff(at[i : j + 1]))
+                size += int(at[j] - at[i])
+                i = j
+                if size >= BLOCK_IDS:
+                    yield flush()
         if keys:
             yield flush()
 
