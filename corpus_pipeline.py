@@ -40,7 +40,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, digests of the ids and of the text decoded from them."""
-    return pieces.digest(pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model")))
+    return pieces.digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 STAGES = [
