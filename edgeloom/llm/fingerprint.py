@@ -5,8 +5,14 @@ filled by optimal densification: bin i draws bins from a fixed hash sequence unt
 bits of every bin are packed into the fingerprint. The likeness of two fingerprints is their share of equal bins with
 the chance agreement of 2**-BITS taken out.
 
+Every document's text is compared with an edited one, which takes characters from the next document, in ascending
+doc_id. Documents are dealt to bins of neighbouring ids, sorted and streamed; the first document of a bin is also sent to
+the bin before, so that texts are exchanged once.
+
 Null is an empty text. A text without words has an empty fingerprint; two such are alike (1), one and another aren't
-(0). Texts with fewer words than a shingle are one shingle. Repeated rows of one doc_id are one document.
+(0). Texts with fewer words than a shingle are one shingle. A text of any length is taken whole. Equal bins of two
+fingerprints count whatever their hashes were (ties are what BITS makes of them). Repeated rows of one doc_id are one
+document. An empty table gives an empty table; a single document is its own next one.
 """
 
 from __future__ import annotations
@@ -15,36 +21,37 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as c
-from . import near
 from . import tokens as t
 
 BINS, BITS = 256, 8
-RUN = 64
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    """The packed low bits of each bin; nothing for an empty set."""
-    if not len(shingles):
-        return np.zeros(0, np.uint8)
-    width = 64 - BINS.bit_length() + 1
-    least = np.full(BINS, np.iinfo(np.uint64).max, np.uint64)
-    bins = (shingles >> t.U(width)).astype(np.int64)
-    np.minimum.at(least, bins, shingles & t.U((1 << width) - 1))
-    have = np.zeros(BINS, bool)
-    have[bins] = True
-    empty, attempt, filled = np.flatnonzero(~have), 0, least.copy()
-    while len(empty):
+def sketch_all(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, BINS) packed low bits of each bin, and which texts have any value; values[at[i]:at[i + 1]] are a text's."""
+    n = len(at) - 1
+    width = t.U(64 - BINS.bit_length() + 1)
+    row = np.repeat(np.arange(n), np.diff(at))
+    place = row * BINS + (values >> width).astype(np.int64)
+    most = np.iinfo(np.uint64).max
+    least = np.full(n * BINS, most, np.uint64)
+    np.minimum.at(least, place, values & ((t.U(1) << width) - t.U(1)))
+    some = np.diff(at) > 0
+    open_ = np.flatnonzero((least == most) & np.repeat(some, BINS))
+    filled, attempt = least.copy(), 0
+    while len(open_):
         attempt += 1
-        other = (t.mix(empty.astype(np.uint64) * t.U(t.BASE) + t.U(attempt * t.BASE2 % t.M64)) % t.U(BINS)).astype(np.int64)
-        found = have[other]
-        filled[empty[found]] = least[other[found]]
-        empty = empty[~found]
-    return (t.mix(filled) & t.U((1 << BITS) - 1)).astype(np.uint8)
+        bins = open_ % BINS
+        other = (t.mix(bins.astype(np.uint64) * t.U(t.BASE) + t.U(attempt * t.BASE2 % t.M64)) % t.U(BINS)).astype(np.int64)
+        value = least[open_ - bins + other]
+        found = value != most
+        filled[open_[found]] = value[found]
+        open_ = open_[~found]
+    return (t.mix(filled) & t.U((1 << BITS) - 1)).astype(np.uint8).reshape(n, BINS), some
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -55,31 +62,43 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def sketches(texts: list[str], words: int = 5) -> list[np.ndarray]:
+    """The fingerprint of each text: BINS bytes, or none."""
     data, offs = c.utf8(pa.array(texts, pa.large_string()))
     out = []
-    for lo, hi in c.slices(offs, 1 << 21):
-        out += [sketch(x) for x in near.shingle_sets(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], words)]
+    for lo, hi in c.slices(offs, 1 << 20):
+        made, some = sketch_all(*t.shingles(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], words))
+        out += [x if y else x[:0] for x, y in zip(made, some)]
     return out
 
 
-def following(ids: DataFrame) -> DataFrame:
-    """(id, next id) in ascending order, null for the last: in runs of RUN neighbouring ids, then the runs alike."""
-    if ids.limit(RUN * RUN).count() < RUN * RUN:
-        return ids.select("id", F.lead("id").over(Window.partitionBy(F.lit(0)).orderBy("id")).alias("next"))
-    run = F.floor(F.col("id") / RUN).cast("long")
-    inner = ids.select("id", run.alias("run"), F.lead("id").over(Window.partitionBy(run).orderBy("id")).alias("next"))
-    heads = c.through_table(ids.groupBy(run.alias("run")).agg(F.min("id").alias("head")), "runs")
-    after = following(heads.selectExpr("run id")).join(heads.selectExpr("run next", "head"), "next").selectExpr("id run", "head")
-    return inner.join(after, "run", "left").select("id", F.coalesce("next", "head").alias("next"))
+def heads(docs: DataFrame) -> np.ndarray:
+    """The first id of each range of neighbouring ids: as many at most as an exchange has partitions."""
+    ids = docs.select("doc_id").repartitionByRange(c.partitions(docs.sparkSession), "doc_id")
+    found = ids.groupBy(F.spark_partition_id().alias("range")).agg(F.min("doc_id").alias("head")).collect()
+    return np.array(sorted(r["head"] for r in found), np.int64)
+
 
+def in_order(docs: DataFrame) -> DataFrame:
+    """(bin, doc_id, text, after) by bin and ascending id; the last row of a bin (after: 1) is the next one's first.
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, next_text): the document after the last one is the first."""
-    ids = c.through_table(docs.selectExpr("doc_id id"), "ids")
-    first = ids.agg(F.min("id")).first()[0]
-    pairs = following(ids).withColumn("next", F.coalesce("next", F.lit(first)))
-    here = docs.join(pairs, docs["doc_id"] == pairs["id"]).select("doc_id", "text", "next")
-    return here.join(docs.selectExpr("doc_id next", "text next_text"), "next", "left").select("doc_id", "text", "next_text")
+    The last bin is followed by the first document of all.
+    """
+    spark = docs.sparkSession
+    found = heads(docs)
+    shared = spark.sparkContext.broadcast(found)
+
+    def rows(batches):
+        first = shared.value
+        for batch in batches:
+            ids = c.longs(batch, "doc_id")
+            own = np.searchsorted(first, ids, "right") - 1
+            again = np.flatnonzero(first[own] == ids)
+            for picked, bins, after in ((np.arange(len(ids)), own, 0), (again, (own[again] - 1) % len(first), 1)):
+                part = batch.take(pa.array(picked))
+                yield pa.RecordBatch.from_arrays([pa.array(bins, pa.int64()), c.column(part, "doc_id"), c.column(part, "text"), pa.array(np.full(len(picked), after, np.int32))], names=["bin", "doc_id", "text", "after"])
+
+    dealt = docs.select("doc_id", "text").mapInArrow(rows, "bin long, doc_id long, text string, after int")
+    return dealt.repartitionById(max(1, len(found)), F.col("bin").cast("int")).sortWithinPartitions("bin", "after", "doc_id")
 
 
 def edit(text: str, other: str) -> str:
@@ -90,18 +109,32 @@ def edit(text: str, other: str) -> str:
 def fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
     """doc_id, n_chars, edited_sha256, both fingerprints and their likenesses."""
 
+    def made(ids, texts, after):
+        """Rows of texts[i], followed by texts[i + 1]; only where after[i + 1] says that it is its neighbour."""
+        own = sketches(texts, words)
+        at = [i for i in range(len(ids)) if not after[i]]
+        changed = [edit(texts[i], texts[i + 1]) for i in at]
+        new = sketches(changed, words)
+        cols = (
+            [ids[i] for i in at], [len(texts[i]) for i in at], [hashlib.sha256(x.encode()).hexdigest() for x in changed],
+            [own[i].tobytes().hex() for i in at], [x.tobytes().hex() for x in new],
+            [likeness(own[i], x) for i, x in zip(at, new)], [likeness(own[i], own[i + 1]) for i in at],
+        )
+        types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(cols, types)], names=SCHEMA.replace(",", "").split()[::2])
+
     def rows(batches):
+        ids, texts, after, size = [], [], [], 0
         for batch in batches:
-            ids = c.column(batch, "doc_id").to_pylist()
-            texts = [x or "" for x in c.column(batch, "text").to_pylist()]
-            after = [x or "" for x in c.column(batch, "next_text").to_pylist()]
-            size = np.cumsum([0, *(len(a) + len(b) for a, b in zip(texts, after))])
-            for lo, hi in c.slices(size, 1 << 21):
-                here, then = texts[lo:hi], after[lo:hi]
-                changed = [edit(a, b) for a, b in zip(here, then)]
-                own, new, nxt = sketches(here, words), sketches(changed, words), sketches(then, words)
-                cols = (ids[lo:hi], [len(x) for x in here], [hashlib.sha256(x.encode()).hexdigest() for x in changed], [x.tobytes().hex() for x in own], [x.tobytes().hex() for x in new], [likeness(a, b) for a, b in zip(own, new)], [likeness(a, b) for a, b in zip(own, nxt)])
-                types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(cols, types)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-
-    return c.own_id(with_next(c.documents(docs)).mapInArrow(rows, SCHEMA))
+            for key, text, late in zip(*(c.column(batch, k).to_pylist() for k in ("doc_id", "text", "after"))):
+                ids.append(key)
+                texts.append(text or "")
+                after.append(late)
+                size += len(texts[-1])
+                if size >= 1 << 20 and len(ids) > 1:
+                    yield made(ids[:-1], texts, after)
+                    ids, texts, after, size = ids[-1:], texts[-1:], after[-1:], len(texts[-1])
+        if len(ids) > 1:
+            yield made(ids[:-1], texts, after)
+
+    return c.own_id(in_order(c.documents(docs)).mapInArrow(rows, SCHEMA))

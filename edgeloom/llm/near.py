@@ -33,17 +33,9 @@ PIVOTS = 8
 
 def shingle_sets(data, offs, words):
     """Sorted distinct shingle hashes of each document."""
-    data = t.LOWER[data]
-    s, e, first = t.split(data, offs, t.SPACE)
-    h = t.word_hashes(data, s, e)
-    g = t.mix(t.grams(h, words)) if len(h) >= words else np.zeros(0, np.uint64)
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-        if b - a >= words:
-            yield np.unique(g[a : b - words + 1])
-        elif b > a:
-            yield t.mix(t.range_hashes(h, np.array([a]), np.array([b])) + t.U(b - a))
-        else:
-            yield np.zeros(0, np.uint64)
+    g, at = t.shingles(data, offs, words)
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        yield np.unique(g[a:b])
 
 
 def set_keys(docs: DataFrame, words: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U = np.uint64
@@ -69,11 +71,27 @@ def range_hashes(values: np.ndarray, a: np.ndarray, b: np.ndarray, base: int = B
     return (total[b] - total[a]) * inverse[a]
 
 
+LANE = np.array([(1 << 8 * i) - 1 for i in range(8)] + [M64 - 1], np.uint64)
+#: Longer words are hashed by blake2b.
+LONG_WORD = 256
+
+
 def word_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """64 bits for each word."""
+    """64 bits for each word: eight bytes at a time, all mixed before the next eight; blake2b for very long words."""
     if len(s) == 0:
         return np.zeros(0, np.uint64)
-    return mix(range_hashes(BYTE[data], s, e) + (e - s).astype(np.uint64) * U(BASE2))
+    size = e - s
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    h = mix((lanes[s] & LANE[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * U(BASE)))
+    more, at = np.flatnonzero(size > 8), 8
+    while len(more) and at < LONG_WORD:
+        h[more] = mix(h[more] * U(BASE2) + (lanes[s[more] + at] & LANE[np.minimum(size[more] - at, 8)]))
+        at += 8
+        more = more[size[more] > at]
+    for i in more.tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[s[i] : e[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def grams(h: np.ndarray, n: int, base: int = BASE2) -> np.ndarray:
@@ -86,6 +104,32 @@ def grams(h: np.ndarray, n: int, base: int = BASE2) -> np.ndarray:
     return a[:m] * U(pow(base, n - k, M64)) + b[k : k + m]
 
 
+def shingles(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of every n consecutive words (A-Z lowered, split at white space) of each text, and where each text's begin.
+
+    A text of fewer words, but not none, has one: of all its words.
+    """
+    data = LOWER[data]
+    s, e, first = split(data, offs, SPACE)
+    h = word_hashes(data, s, e)
+    count = np.diff(first)
+    g = mix(grams(h, n)) if len(h) >= n else np.zeros(0, np.uint64)
+    short = np.flatnonzero((count > 0) & (count < n))
+    whole = np.zeros(len(h), bool)
+    whole[: len(g)] = True
+    last = np.repeat(first[1:], count)
+    whole &= np.arange(len(h)) + n <= last
+    whole[first[short]] = True
+    value = np.zeros(len(h), np.uint64)
+    value[: len(g)] = g
+    for i in range(1, n):
+        some = short[count[short] == i]
+        if len(some):
+            value[first[some]] = mix(grams(h, i)[first[some]] + U(i) * U(BASE))
+    at = np.concatenate([[0], np.cumsum(whole)])[first]
+    return value[whole], at
+
+
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """The least of every w consecutive values."""
     m = max(0, len(x) - w + 1)
