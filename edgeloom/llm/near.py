@@ -1,34 +1,52 @@
 """Near-duplicate documents by bottom-k sketches from one hash function.
 
-A document's sketch holds the floor(n / 4) + 1 first of its n shingle hashes in one global order (for a similarity of
-75 %), so any two sets that are that alike share a retained value. The order puts hashes from crowded buckets of a fixed
-count table behind the others and goes by hash otherwise; whatever the table says, the order is the same for all
-documents, so the candidates are whole. Documents of equal sets form a class and only its smallest id goes on. Inverted
-lists of retained values give candidates; the part of the union that both sketches show bounds the similarity and
-drops pairs that cannot reach it; the rest are confirmed on full sets.
-
-A list does not emit all its pairs: it links its smallest id with the others first. Components follow, and lists whose
-documents are not yet in one component go on with more pivots each round; the last round makes every document of such
-a list a pivot, so no link is lost.
+A document of n shingles keeps the first k = n - ceil(3n / 4) + 1 + floor(n / 10) of their hashes in one global order (for a
+similarity of 75 %). The order puts hashes from crowded buckets of a fixed count table behind the others and goes by hash
+otherwise; whatever the table says it is the same for all documents. Of two documents that are that alike, with c retained
+values in common, the union of both sketches ends where the shorter one ends, so what they share beyond it is at most what
+that document has not retained: c + max(n_a - k_a, n_b - k_b) is no less than the intersection that is needed. It follows
+that both share floor(n / 10) or more of their values with others, so that
+
+1. documents of equal sets (equal 128-bit digests of all hashes) form a class, and only its smallest id goes on;
+2. inverted lists of retained values tell which values stand in more than one sketch, and documents with too few of those
+   go, before any set is moved;
+3. each list links its smallest id with the others; the full sets of these pairs are compared, and components follow, so
+   that a group of thousands of copies is settled by as many pairs;
+4. in lists that still hold several components, overlaps are counted for every pair of different components, the bound above
+   drops pairs by what the union of their sketches lets them share, and the rest are confirmed on full sets;
+5. lists of more than PAIRED documents are not paired: they go on with more pivots each round, the last time with all.
+
+No candidate is dropped but by these bounds, so no link is lost. Lists, links and components are tables; only the count
+table and a filter of set members, both of fixed size, pass through the driver.
 
 Null, empty and blank texts have empty sets and are linked with nothing; texts of fewer words than a shingle are one
-shingle. Repeated rows of one doc_id are one document. An empty table gives an empty table.
+shingle; texts of any length are taken whole. Ties go to the smallest id, a null id being smallest. Repeated rows of one
+doc_id are one document. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as c
+from . import repeats as r
 from . import tokens as t
 
-BUCKETS = 1 << 20
+BUCKETS = 1 << 21
 SLABS = 64
+SPREAD = 10
+BIN_VALUES = 2 << 20
+FILTER_BITS = 1 << 25
+PAIRED = 256
 PIVOT_ROUNDS = 4
 PIVOTS = 8
+KEY_DDL = "doc_id long, n long, h1 long, h2 long, slab int, counts binary"
 
 
 def shingle_sets(data, offs, words):
@@ -38,94 +56,156 @@ def shingle_sets(data, offs, words):
         yield np.unique(g[a:b])
 
 
-def set_keys(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n and two hashes of each document's set."""
+def retained(n, percent: int):
+    """How many values a sketch of an n-element set keeps."""
+    return np.minimum(n, n - -(-percent * n // 100) + 1 + n // SPREAD)
 
-    def rows(batches):
-        for batch, lo, hi, data, offs in c.text_slices(batches):
-            got = list(shingle_sets(data, offs, words))
-            n = pa.array([len(x) for x in got], pa.int64())
-            one = pa.array([int(x.sum(dtype=np.uint64).view(np.int64)) for x in got], pa.int64())
-            two = pa.array([int(t.mix(x ^ t.U(t.BASE)).sum(dtype=np.uint64).view(np.int64)) for x in got], pa.int64())
-            yield pa.RecordBatch.from_arrays([c.column(batch, "doc_id")[lo:hi], n, one, two], names=["doc_id", "n", "h1", "h2"])
 
-    return docs.mapInArrow(rows, "doc_id long, n long, h1 long, h2 long")
+def bucket(values: np.ndarray) -> np.ndarray:
+    return (values >> t.U(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
 
 
-def crowded(reps: DataFrame, words: int) -> np.ndarray:
-    """How crowded each bucket of shingle hashes is: 0 up to 8 times the mean, then the power of two above it."""
+def set_keys(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, n and a digest (h1, h2) of each document's set; beside them the counts of all buckets, by slab."""
 
-    def count(batches):
+    def rows(batches):
         total = np.zeros(BUCKETS, np.int64)
-        for _, _, _, data, offs in c.text_slices(batches):
-            x = np.concatenate(list(shingle_sets(data, offs, words)))
-            total += np.bincount((x >> t.U(44)).astype(np.int64), minlength=BUCKETS)
-        for i, part in enumerate(np.split(total, SLABS)):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([c.pack(part)], pa.binary())], names=["slab", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(c.unpack(b)[0] for b in table["counts"].to_pylist())
+        names = [x.split()[0] for x in KEY_DDL.split(", ")]
+        for batch, lo, hi, data, offs in c.text_slices(batches):
+            got = list(shingle_sets(data, offs, words))
+            digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in got]
+            made = dict(zip(digests, got))
+            if made:
+                total += np.bincount(bucket(np.concatenate(list(made.values()))), minlength=BUCKETS)
+            halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            n = len(got)
+            cols = [c.column(batch, "doc_id")[lo:hi], pa.array([len(x) for x in got], pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+        blocks = [c.pack(x) for x in np.split(total, SLABS)] if total.any() else []
+        empty = [pa.nulls(len(blocks), pa.int64())] * 4
+        yield pa.RecordBatch.from_arrays([*empty, pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], names=names)
+
+    return docs.mapInArrow(rows, KEY_DDL)
+
+
+def merged(df: DataFrame, how) -> dict[int, np.ndarray]:
+    """Packed arrays by slab, those of one slab put together: as much as a fixed table holds."""
+
+    def one(table: pa.Table) -> pa.Table:
+        total = functools.reduce(how, (c.unpack(b)[0] for b in table["counts"].to_pylist()))
         return pa.table({"slab": table["slab"][:1], "counts": pa.array([c.pack(total)], pa.binary())})
 
-    total = np.zeros((SLABS, BUCKETS // SLABS), np.int64)
-    for r in reps.select("text").mapInArrow(count, "slab int, counts binary").groupBy("slab").applyInArrow(add, "slab int, counts binary").collect():
-        total[r["slab"]] = c.unpack(r["counts"])[0]
-    total = total.reshape(-1)
-    return np.maximum(0, np.log2(np.maximum(total, 1) / max(8.0, 8 * total.mean())).astype(np.int8) + (total > max(8.0, 8 * total.mean())))
+    return {x["slab"]: c.unpack(x["counts"])[0] for x in df.select("slab", "counts").groupBy("slab").applyInArrow(one, "slab int, counts binary").collect()}
 
 
-def ranked(values: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """A set in the global order; the keys that say so."""
-    return np.argsort(level[(values >> t.U(44)).astype(np.int64)], kind="stable")
+def crowded(keys: DataFrame) -> np.ndarray:
+    """How crowded each bucket of shingle hashes is: 0 up to twice the mean, else the power of two above the mean."""
+    total = np.zeros((SLABS, BUCKETS // SLABS), np.int64)
+    for slab, counts in merged(keys.where("slab is not null"), np.add).items():
+        total[slab] = counts
+    total = total.reshape(-1)
+    mean = max(total.mean(), 1e-9)
+    return np.where(total > 2 * mean + 8, np.clip(np.log2(np.maximum(total, 1) / mean), 1, 31), 0).astype(np.uint8)
 
 
-def inverted(reps: DataFrame, shared, words: int, percent: int) -> DataFrame:
-    """(value, doc, n, pos): each retained value with its place in the document's order."""
+def sketches(docs: DataFrame, shared, words: int, percent: int) -> DataFrame:
+    """(doc_id, n, kept): the retained values of each document that has any, in the global order."""
 
     def rows(batches):
         level = shared.value
         for batch, lo, hi, data, offs in c.text_slices(batches):
-            docs = c.longs(batch, "doc_id")[lo:hi]
-            vals, pos, ids, n_of = [], [], [], []
-            for key, x in zip(docs, shingle_sets(data, offs, words)):
-                k = len(x) - -(-percent * len(x) // 100) + 1
-                vals.append(x[ranked(x, level)[:k]])
-                pos.append(np.arange(k, dtype=np.int32))
-                ids.append(np.full(k, key))
-                n_of.append(np.full(k, len(x), np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(vals).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(n_of)), pa.array(np.concatenate(pos))], names=["value", "doc", "n", "pos"])
+            docs_, n, kept = c.longs(batch, "doc_id")[lo:hi], [], []
+            for x in shingle_sets(data, offs, words):
+                order = np.sort((level[bucket(x)].astype(np.uint64) << t.U(59)) | (x & t.U((1 << 59) - 1)))
+                n.append(len(x))
+                kept.append(order[: int(retained(len(x), percent))].tobytes())
+            some = np.array(n) > 0
+            cols = [pa.array(docs_), pa.array(n, pa.int32()), pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "kept"]).filter(pa.array(some))
 
-    return reps.mapInArrow(rows, "value long, doc long, n int, pos int")
+    return docs.mapInArrow(rows, "doc_id long, n int, kept binary")
 
 
-def verify(pairs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets, made anew from the whole texts, are alike."""
-    x = reps.selectExpr("doc_id a", "text x")
-    y = reps.selectExpr("doc_id b", "text y")
+def shared_values(sketched: DataFrame, bins: int) -> DataFrame:
+    """(value, doc, n): values in more than one sketch, of the documents that have enough of them to be like another.
 
-    def rows(batches):
+    A value that several sketches of a slice hold is sent to its list once, so that a list is no longer than there are
+    slices.
+    """
+
+    def deal(batches):
+        for batch in batches:
+            kept, offs = c.utf8(c.column(batch, "kept"))
+            for lo, hi in c.slices(offs, 8 << 20):
+                value = kept[offs[lo] : offs[hi]].view("<u8")
+                count = np.diff(offs[lo : hi + 1]) // 8
+                doc, n = np.repeat(c.longs(batch, "doc_id")[lo:hi], count), np.repeat(c.longs(batch, "n")[lo:hi], count).astype(np.int32)
+                order = np.argsort(value, kind="stable")
+                value, doc, n = value[order], doc[order], n[order]
+                same = value[1:] == value[:-1]
+                again = np.concatenate([[False], same])
+                known = again | np.concatenate([same, [False]])
+                yield r.rows_by_bin(1, c.bin_of(doc[known], bins), value[known], doc[known], n[known])
+                one = ~again
+                yield r.rows_by_bin(0, (value[one] % t.U(bins)).astype(np.int32), value[one], doc[one], n[one], known[one])
+
+    def lists(table: pa.Table) -> pa.Table:
+        table, blocks = r.settled(table)
+        if not blocks:
+            return table
+        value, doc, n, known = (np.concatenate(x) for x in zip(*map(c.unpack, blocks)))
+        order = np.argsort(value, kind="stable")
+        same = value[order][1:] == value[order][:-1]
+        found = np.zeros(len(value), bool)
+        found[order[1:]] |= same
+        found[order[:-1]] |= same
+        found &= ~known.astype(bool)
+        return pa.concat_tables([table, pa.Table.from_batches([r.rows_by_bin(1, c.bin_of(doc[found], bins), value[found], doc[found], n[found])])])
+
+    def enough(table: pa.Table) -> pa.Table:
+        value, doc, n = (np.concatenate(x) for x in zip(*map(c.unpack, table["block"].to_pylist())))
+        _, which, count = np.unique(doc, return_inverse=True, return_counts=True)
+        stay = count[which] >= np.maximum(1, n // SPREAD)
+        return pa.table({"value": value[stay].view(np.int64), "doc": doc[stay], "n": n[stay]})
+
+    dealt = sketched.mapInArrow(deal, r.BLOCK_DDL).groupBy(r.key(bins)).applyInArrow(lists, r.BLOCK_DDL)
+    return dealt.groupBy("bin").applyInArrow(enough, "value long, doc long, n int")
+
+
+def filter_places(ids: np.ndarray) -> np.ndarray:
+    h = t.mix(ids.view(np.uint64) + t.U(t.BASE))
+    return np.stack([h % t.U(FILTER_BITS), (h >> t.U(32)) % t.U(FILTER_BITS)]).astype(np.int64)
+
+
+def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(doc_id, members): the whole sets of the documents named in ids, made anew from their texts.
+
+    A filter of fixed size says which texts to look at; it lets some others through, and none of those asked for is lost.
+    """
+
+    def mark(batches):
+        bits = np.zeros(FILTER_BITS, np.uint8)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                part = batch.slice(lo, 128)
-                one, two = (list(shingle_sets(*c.utf8(c.column(part, k)), words)) for k in ("x", "y"))
-                keep = [union_bound(p, q, percent) and alike(p, q, percent) for p, q in zip(one, two)]
-                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            bits[filter_places(c.longs(batch, "doc")).reshape(-1)] = 1
+        if bits.any():
+            parts = np.split(np.packbits(bits), SLABS)
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLABS), pa.int32()), pa.array([c.pack(x) for x in parts], pa.binary())], names=["slab", "counts"])
 
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(rows, "a long, b long")
+    slabs = merged(ids.mapInArrow(mark, "slab int, counts binary"), np.bitwise_or)
+    table = np.concatenate([slabs.get(i, np.zeros(FILTER_BITS // 8 // SLABS, np.uint8)) for i in range(SLABS)])
+    shared = docs.sparkSession.sparkContext.broadcast(table)
 
+    def rows(batches):
+        bits = shared.value
+        for batch in batches:
+            at = filter_places(c.longs(batch, "doc_id"))
+            here = ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(0)
+            part = batch.filter(pa.array(here))
+            for _, lo, hi, data, offs in c.text_slices([part]):
+                made = [x.tobytes() for x in shingle_sets(data, offs, words)]
+                yield pa.RecordBatch.from_arrays([c.column(part, "doc_id")[lo:hi], pa.array(made, pa.binary())], names=["doc_id", "members"])
 
-def union_bound(p, q, percent, k: int = 128) -> bool:
-    """Whether the first k of the union (which both sketches show) still let the pair be alike."""
-    if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
-        return False
-    if min(len(p), len(q)) <= k:
-        return True
-    a, b = p[:k], q[:k]
-    last = min(a[-1], b[-1])
-    i, j = int(np.searchsorted(a, last, "right")), int(np.searchsorted(b, last, "right"))
-    both = len(np.intersect1d(a[:i], b[:j], assume_unique=True))
-    most = both + min(len(p) - i, len(q) - j)
-    return 100 * most >= percent * (len(p) + len(q) - most)
+    return docs.mapInArrow(rows, "doc_id long, members binary").where("length(members) > 0")
 
 
 def alike(p, q, percent) -> bool:
@@ -135,6 +215,23 @@ def alike(p, q, percent) -> bool:
     return 100 * both >= percent * (len(z) - both)
 
 
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are alike."""
+    x = sets.selectExpr("doc_id a", "members x")
+    y = sets.selectExpr("doc_id b", "members y")
+
+    def rows(batches):
+        for batch in batches:
+            one, two = (c.utf8(c.column(batch, k)) for k in ("x", "y"))
+            keep = [
+                alike(one[0][one[1][i] : one[1][i + 1]].view("<u8"), two[0][two[1][i] : two[1][i + 1]].view("<u8"), percent)
+                for i in range(batch.num_rows)
+            ]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(rows, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(doc, comp) for every document with a link: the smallest id that links reach."""
     both = c.through_table(links.unionByName(links.selectExpr("b a", "a b")).distinct(), "links")
@@ -150,52 +247,79 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each document."""
-    spark = docs.sparkSession
-    d = c.documents(docs)
-    every = c.through_table(set_keys(d, words), "keys")
-    keys = every.where("n > 0")
-    salted = keys.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(16)))
-    classes = keys.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    member = c.through_table(salted.join(classes, ["h1", "h2", "n", "salt"]).select("doc_id", "rep"), "members")
-    reps = c.through_table(d.join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").select("doc_id", "text"), "classes")
-    shared = spark.sparkContext.broadcast(crowded(reps, words))
-
-    # One exchange by value serves both the counts and the join with them.
-    lists = inverted(reps, shared, words, percent).repartition(c.partitions(spark), "value")
-    first = lists.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("doc", "n", "pos")).alias("p")).where("size > 1")
-    lists = c.through_table(lists.join(first, "value"), "lists")
-
-    def fits(a_n, a_pos, b_n, b_pos):
-        most = f"least({a_n} - {a_pos} + least({a_pos}, {b_pos}), {b_n} - {b_pos} + least({a_pos}, {b_pos}))"
-        return f"100L * least({a_n}, {b_n}) >= {percent}L * greatest({a_n}, {b_n}) and 100L * ({most}) >= {percent}L * ({a_n} + {b_n} - ({most}))"
-
-    pairs = lists.where("doc <> p.doc").where(fits("p.n", "p.pos", "n", "pos")).selectExpr("p.doc a", "doc b").distinct()
-    links = c.through_table(verify(pairs, reps, words, percent), "confirmed")
+def opened(lists: DataFrame, label: DataFrame) -> DataFrame:
+    """(value, doc, n, comp, size): the lists that hold documents of several components."""
+    now = lists.join(label, "doc", "left").select("value", "doc", "n", F.coalesce("comp", "doc").alias("comp"))
+    size = now.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    return now.join(size.select("value", "size"), "value")
+
+
+def links_of(docs: DataFrame, lists: DataFrame, words: int, percent: int) -> DataFrame | None:
+    """(doc, comp) of the documents with a link; None: there are none. lists: see shared_values()."""
+    sets = c.through_table(full_sets(docs, lists.select("doc").distinct(), words), "sets")
+    fits = f"100L * least(n, pn) >= {percent}L * greatest(n, pn)"
+    first = lists.groupBy("value").agg(F.min(F.struct("doc", "n")).alias("p")).selectExpr("value", "p.doc pd", "p.n pn")
+    stars = lists.join(first, "value").where("doc <> pd").where(fits).selectExpr("pd a", "doc b").distinct()
+    links = c.through_table(verify(stars, sets, percent), "confirmed")
     label = components(links)
-    left = lists.select("value", "doc", "n", "pos")
+    left = c.through_table(opened(lists, label), "open")
+
+    # Overlaps of all pairs in lists of bounded size; a longer list may add one to each pair of its documents.
+    long_ = F.col("size") > PAIRED
+    extra = left.groupBy("doc").agg(F.sum(long_.cast("long")).alias("long"))
+    short = left.where(~long_).join(extra, "doc").selectExpr("value", "doc", "n", "comp", "long")
+    other = short.selectExpr("value", "doc pd", "n pn", "comp pc", "long pl")
+    together = short.join(other, "value").where("doc < pd and comp <> pc").where(fits)
+    hidden = lambda n: f"({n} - least({n}, {n} - cast(ceil({percent}L * {n} / 100) as long) + 1 + floor({n} / {SPREAD})))"
+    most = f"count + least(max_long, max_pl) + greatest({hidden('n')}, {hidden('pn')})"
+    counted = together.groupBy("doc", "pd", "n", "pn").agg(F.count(F.lit(1)).alias("count"), F.max("long").alias("max_long"), F.max("pl").alias("max_pl"))
+    pairs = counted.where(f"{100 + percent}L * ({most}) >= {percent}L * (n + pn)").selectExpr("doc a", "pd b")
+    found = c.through_table(verify(pairs, sets, percent), "confirmed")
+    if found.limit(1).count():
+        links = links.unionByName(found)
+        label = components(links)
+
+    left = left.where(long_).select("value", "doc", "n")
     for k in range(PIVOT_ROUNDS + 1):
-        now = left.join(label, "doc", "left").select("value", "doc", "n", "pos", F.coalesce("comp", "doc").alias("comp"))
-        open_ = now.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("value", "size")
-        left = c.through_table(now.join(open_, "value"), "lists")
+        left = c.through_table(opened(left, label), "open")
         if not left.limit(1).count():
             break
-        last = k == PIVOT_ROUNDS
-        chosen = left if last else left.where(F.col("size") <= 2 * PIVOTS * 2**k).unionByName(left.where((F.col("size") > 2 * PIVOTS * 2**k) & (F.pmod(F.xxhash64("doc", F.lit(k)), F.col("size")) < PIVOTS * 2**k)))
-        chosen = chosen.selectExpr("value", "doc pd", "n pn", "pos pp", "comp pc")
-        more = left.join(chosen, "value").where("comp <> pc").where(fits("pn", "pp", "n", "pos")).select(F.least("doc", "pd").alias("a"), F.greatest("doc", "pd").alias("b")).distinct()
-        found = c.through_table(verify(more, reps, words, percent), "confirmed")
+        last, many = k == PIVOT_ROUNDS, PIVOTS * 2**k
+        chosen = left if last else left.where((F.col("size") <= 2 * many) | (F.pmod(F.xxhash64("doc", F.lit(k)), F.col("size")) < many))
+        chosen = chosen.selectExpr("value", "doc pd", "n pn", "comp pc")
+        pairs = left.join(chosen, "value").where("comp <> pc").where(fits).select(F.least("doc", "pd").alias("a"), F.greatest("doc", "pd").alias("b")).distinct()
+        found = c.through_table(verify(pairs, sets, percent), "confirmed")
         # Lists of up to this size have now been tested whole, whatever was found.
-        if not last:
-            left = left.where(F.col("size") > 2 * PIVOTS * 2**k)
-        left = left.select("value", "doc", "n", "pos")
+        left = left.where(F.col("size") > 2 * many).select("value", "doc", "n")
         if found.limit(1).count():
             links = links.unionByName(found)
             label = components(links)
         if last:
             break
-    reach = member.join(label, member["rep"] == label["doc"], "left").select("doc_id", F.coalesce("comp", "rep").alias("component_id"))
-    out = every.select("doc_id", F.col("n").alias("n_shingles")).join(reach, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return label
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each document."""
+    spark = docs.sparkSession
+    d = c.documents(docs)
+    keys = c.through_table(set_keys(d, words), "keys")
+    every = keys.where("slab is null").select("doc_id", "n", "h1", "h2")
+    some = every.where("n > 0")
+    classes = some.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    # One class may hold a third of all rows: it is dealt to 16 keys.
+    salted = some.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(16)))
+    classes = classes.drop("copies").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    copies = c.through_table(salted.join(classes, ["h1", "h2", "n", "salt"]).where("doc_id <> rep").select("doc_id", "rep"), "copies")
+
+    shared = spark.sparkContext.broadcast(crowded(keys))
+    values = every.agg(F.sum("n")).first()[0] or 0
+    bins = max(c.partitions(spark), int(values * (100 - percent + 100 // SPREAD) // 100 // BIN_VALUES))
+    sketched = sketches(d, shared, words, percent).join(copies.select("doc_id"), "doc_id", "left_anti")
+    lists = c.through_table(shared_values(sketched, bins), "lists")
+    label = links_of(d, lists, words, percent)
+
+    rep = every.join(copies, "doc_id", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("doc"))
+    out = rep.join(label, "doc", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc").alias("component_id"))
     out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
     return c.own_id(c.own_id(out, "component_id"))

@@ -125,7 +125,7 @@ def shingles(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np
     for i in range(1, n):
         some = short[count[short] == i]
         if len(some):
-            value[first[some]] = mix(grams(h, i)[first[some]] + U(i) * U(BASE))
+            value[first[some]] = mix(grams(h, i)[first[some]] + U(i * BASE % M64))
     at = np.concatenate([[0], np.cumsum(whole)])[first]
     return value[whole], at
 
