@@ -38,7 +38,7 @@ WIDTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 COUNTS = 60 // WIDTHS
 BLOCK_IDS = 1 << 16
 BLOCK = "part int, block long, first long, ids_n long, doc_ids binary, lengths binary, n_words long, words binary, escapes binary"
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 # The steps known to treat the stretches between ASCII spaces apart.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -83,11 +83,41 @@ class Encoder:
         self.library = Tokenizer.from_str(tokenizer)
         self.apart = apart_at_spaces(tokenizer)
         self.added = [x["content"][:2].lower().encode() for x in json.loads(tokenizer).get("added_tokens", ())]
-        self.store = u.Store(lambda units: self.whole([x.decode() for x in units]))
+        self.store = u.Store(self.units)
+        # Tokens at the end of a word: the last one of each unit that is one match of SPLIT.
+        suffix = (json.loads(tokenizer).get("model") or {}).get("end_of_word_suffix") or ""
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for x, i in vocabulary.items() if suffix and x.endswith(suffix)]] = True
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def units(self, units: list[bytes]) -> list[bytes]:
+        """Ids of each unit: many at once, apart at their last tokens, where each unit is one word to the tokenizer."""
+        made: list[bytes | None] = [None] * len(units)
+        alone = self.words_among(units)
+        for lo in range(0, len(alone), 4096):
+            part = alone[lo : lo + 4096]
+            joined = [b" ".join([units[i] for i in part[k : k + 64]]).decode() for k in range(0, len(part), 64)]
+            ids = np.frombuffer(b"".join(self.whole(joined)), "<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == len(part) and last[-1] == len(ids):
+                raw, ends = ids.tobytes(), (4 * last).tolist()
+                for i, a, b in zip(part, [0, *ends], ends):
+                    made[i] = raw[a:b]
+        rest = [i for i, x in enumerate(made) if x is None]
+        for i, x in zip(rest, self.whole([units[i].decode() for i in rest])):
+            made[i] = x
+        return made
+
+    @staticmethod
+    def words_among(units: list[bytes]) -> list[int]:
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        odd = np.concatenate([[0], np.cumsum(KIND[np.frombuffer(b"".join(units), np.uint8)] == ODD)])
+        ends = np.cumsum(size)
+        return np.flatnonzero(odd[ends] == odd[ends - size]).tolist()
+
     @property
     def seen(self) -> dict[bytes, bytes]:
         return self.store.seen
@@ -117,7 +147,7 @@ class Encoder:
         word = kind != BLANK
         begins = first & word
         begins[1:] |= word[1:] & ~word[:-1]
-        stretch = np.cumsum(begins) - 1
+        stretch = np.cumsum(begins, dtype=np.int32) - 1
         odd = np.zeros(int(stretch[-1]) + 2 if n and len(data) else 1, bool)
         odd[stretch[kind == ODD]] = True
         whole = odd[stretch] & word
