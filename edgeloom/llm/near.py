@@ -10,11 +10,13 @@ that both share floor(n / 10) or more of their values with others, so that
 1. documents of equal sets (equal 128-bit digests of all hashes) form a class, and only its smallest id goes on;
 2. inverted lists of retained values tell which values stand in more than one sketch, and documents with too few of those
    go, before any set is moved;
-3. each list links its smallest id with the others; the full sets of these pairs are compared, and components follow, so
-   that a group of thousands of copies is settled by as many pairs;
-4. in lists that still hold several components, overlaps are counted for every pair of different components, the bound above
+3. of the rest, documents go of which less than 75 % of the whole set stands in others;
+4. each list links its smallest id with the others; the full sets of these pairs are compared, and components follow, so
+   that a group of thousands of copies is settled by about as many pairs;
+5. in lists that still hold several components, overlaps are counted for pairs of different components, the bound above
    drops pairs by what the union of their sketches lets them share, and the rest are confirmed on full sets;
-5. lists of more than PAIRED documents are not paired: they go on with more pivots each round, the last time with all.
+6. in lists of more than PAIRED documents nothing is counted: each counts as one that a pair may share, and pairs that share
+   such lists alone come from the few of them that a prefix filter leaves, under the same bound.
 
 No candidate is dropped but by these bounds, so no link is lost. Lists, links and components are tables; only the count
 table and a filter of set members, both of fixed size, pass through the driver.
@@ -31,7 +33,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as c
@@ -41,11 +43,9 @@ from . import tokens as t
 BUCKETS = 1 << 21
 SLABS = 64
 SPREAD = 10
-BIN_VALUES = 2 << 20
+BIN_VALUES = 1 << 20
 FILTER_BITS = 1 << 25
 PAIRED = 256
-PIVOT_ROUNDS = 4
-PIVOTS = 8
 KEY_DDL = "doc_id long, n long, h1 long, h2 long, slab int, counts binary"
 
 
@@ -126,10 +126,10 @@ def sketches(docs: DataFrame, shared, words: int, percent: int) -> DataFrame:
     return docs.mapInArrow(rows, "doc_id long, n int, kept binary")
 
 
-def shared_values(sketched: DataFrame, bins: int) -> DataFrame:
-    """(value, doc, n): values in more than one sketch, of the documents that have enough of them to be like another.
+def shared_values(sketched: DataFrame, bins: int, enough, schema: str = "value long, doc long, n int") -> DataFrame:
+    """(value, doc, n): values in more than one sketch, of the documents that have enough(n) of them or more.
 
-    A value that several sketches of a slice hold is sent to its list once, so that a list is no longer than there are
+    With another schema, only those of its columns, once for each document. A value that several sketches of a slice hold is sent to its list once, so that a list is no longer than there are
     slices.
     """
 
@@ -162,14 +162,20 @@ def shared_values(sketched: DataFrame, bins: int) -> DataFrame:
         found &= ~known.astype(bool)
         return pa.concat_tables([table, pa.Table.from_batches([r.rows_by_bin(1, c.bin_of(doc[found], bins), value[found], doc[found], n[found])])])
 
-    def enough(table: pa.Table) -> pa.Table:
+    names = schema.split()[::2]
+
+    def by_document(table: pa.Table) -> pa.Table:
         value, doc, n = (np.concatenate(x) for x in zip(*map(c.unpack, table["block"].to_pylist())))
-        _, which, count = np.unique(doc, return_inverse=True, return_counts=True)
-        stay = count[which] >= np.maximum(1, n // SPREAD)
-        return pa.table({"value": value[stay].view(np.int64), "doc": doc[stay], "n": n[stay]})
+        _, first, which, count = np.unique(doc, return_index=True, return_inverse=True, return_counts=True)
+        stay = count[which] >= enough(n.astype(np.int64))
+        if "value" not in names:
+            once = np.zeros(len(doc), bool)
+            once[first] = True
+            stay &= once
+        return pa.table({"value": value[stay].view(np.int64), "doc": doc[stay], "n": n[stay]}).select(names)
 
     dealt = sketched.mapInArrow(deal, r.BLOCK_DDL).groupBy(r.key(bins)).applyInArrow(lists, r.BLOCK_DDL)
-    return dealt.groupBy("bin").applyInArrow(enough, "value long, doc long, n int")
+    return dealt.groupBy("bin").applyInArrow(by_document, schema)
 
 
 def filter_places(ids: np.ndarray) -> np.ndarray:
@@ -178,7 +184,7 @@ def filter_places(ids: np.ndarray) -> np.ndarray:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(doc_id, members): the whole sets of the documents named in ids, made anew from their texts.
+    """(doc_id, n, kept): the whole sets of the documents named in ids, made anew from their texts.
 
     A filter of fixed size says which texts to look at; it lets some others through, and none of those asked for is lost.
     """
@@ -203,9 +209,10 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             part = batch.filter(pa.array(here))
             for _, lo, hi, data, offs in c.text_slices([part]):
                 made = [x.tobytes() for x in shingle_sets(data, offs, words)]
-                yield pa.RecordBatch.from_arrays([c.column(part, "doc_id")[lo:hi], pa.array(made, pa.binary())], names=["doc_id", "members"])
+                n = pa.array([len(x) // 8 for x in made], pa.int32())
+                yield pa.RecordBatch.from_arrays([c.column(part, "doc_id")[lo:hi], n, pa.array(made, pa.binary())], names=["doc_id", "n", "kept"])
 
-    return docs.mapInArrow(rows, "doc_id long, members binary").where("length(members) > 0")
+    return docs.mapInArrow(rows, "doc_id long, n int, kept binary").where("n > 0")
 
 
 def alike(p, q, percent) -> bool:
@@ -217,8 +224,8 @@ def alike(p, q, percent) -> bool:
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are alike."""
-    x = sets.selectExpr("doc_id a", "members x")
-    y = sets.selectExpr("doc_id b", "members y")
+    x = sets.selectExpr("doc_id a", "kept x")
+    y = sets.selectExpr("doc_id b", "kept y")
 
     def rows(batches):
         for batch in batches:
@@ -248,55 +255,49 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def opened(lists: DataFrame, label: DataFrame) -> DataFrame:
-    """(value, doc, n, comp, size): the lists that hold documents of several components."""
+    """(value, doc, n, comp, size, top, long): the lists that hold documents of several components.
+
+    top is the component that most documents of the list are of; long is how many lists of more than PAIRED documents the
+    document stands in.
+    """
     now = lists.join(label, "doc", "left").select("value", "doc", "n", F.coalesce("comp", "doc").alias("comp"))
-    size = now.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    return now.join(size.select("value", "size"), "value")
+    by_value = now.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.mode("comp").alias("top"))
+    left = c.through_table(now.join(by_value.where("lo < hi").drop("lo", "hi"), "value"), "open")
+    return left.join(left.groupBy("doc").agg(F.sum((F.col("size") > PAIRED).cast("long")).alias("long")), "doc")
 
 
-def links_of(docs: DataFrame, lists: DataFrame, words: int, percent: int) -> DataFrame | None:
-    """(doc, comp) of the documents with a link; None: there are none. lists: see shared_values()."""
-    sets = c.through_table(full_sets(docs, lists.select("doc").distinct(), words), "sets")
+def links_of(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(doc, comp) of the documents with a link. lists: see shared_values()."""
     fits = f"100L * least(n, pn) >= {percent}L * greatest(n, pn)"
     first = lists.groupBy("value").agg(F.min(F.struct("doc", "n")).alias("p")).selectExpr("value", "p.doc pd", "p.n pn")
     stars = lists.join(first, "value").where("doc <> pd").where(fits).selectExpr("pd a", "doc b").distinct()
     links = c.through_table(verify(stars, sets, percent), "confirmed")
     label = components(links)
-    left = c.through_table(opened(lists, label), "open")
-
-    # Overlaps of all pairs in lists of bounded size; a longer list may add one to each pair of its documents.
-    long_ = F.col("size") > PAIRED
-    extra = left.groupBy("doc").agg(F.sum(long_.cast("long")).alias("long"))
-    short = left.where(~long_).join(extra, "doc").selectExpr("value", "doc", "n", "comp", "long")
-    other = short.selectExpr("value", "doc pd", "n pn", "comp pc", "long pl")
-    together = short.join(other, "value").where("doc < pd and comp <> pc").where(fits)
-    hidden = lambda n: f"({n} - least({n}, {n} - cast(ceil({percent}L * {n} / 100) as long) + 1 + floor({n} / {SPREAD})))"
-    most = f"count + least(max_long, max_pl) + greatest({hidden('n')}, {hidden('pn')})"
-    counted = together.groupBy("doc", "pd", "n", "pn").agg(F.count(F.lit(1)).alias("count"), F.max("long").alias("max_long"), F.max("pl").alias("max_pl"))
-    pairs = counted.where(f"{100 + percent}L * ({most}) >= {percent}L * (n + pn)").selectExpr("doc a", "pd b")
-    found = c.through_table(verify(pairs, sets, percent), "confirmed")
-    if found.limit(1).count():
-        links = links.unionByName(found)
-        label = components(links)
-
-    left = left.where(long_).select("value", "doc", "n")
-    for k in range(PIVOT_ROUNDS + 1):
-        left = c.through_table(opened(left, label), "open")
-        if not left.limit(1).count():
-            break
-        last, many = k == PIVOT_ROUNDS, PIVOTS * 2**k
-        chosen = left if last else left.where((F.col("size") <= 2 * many) | (F.pmod(F.xxhash64("doc", F.lit(k)), F.col("size")) < many))
-        chosen = chosen.selectExpr("value", "doc pd", "n pn", "comp pc")
-        pairs = left.join(chosen, "value").where("comp <> pc").where(fits).select(F.least("doc", "pd").alias("a"), F.greatest("doc", "pd").alias("b")).distinct()
-        found = c.through_table(verify(pairs, sets, percent), "confirmed")
-        # Lists of up to this size have now been tested whole, whatever was found.
-        left = left.where(F.col("size") > 2 * many).select("value", "doc", "n")
-        if found.limit(1).count():
-            links = links.unionByName(found)
-            label = components(links)
-        if last:
-            break
-    return label
+
+    left = opened(lists, label)
+    hidden = lambda n: f"({n} - least({n}, {n} - cast(ceil({percent}L * {n} / 100) as long) + 1 + {n} div {SPREAD}))"
+
+    def enough(count: str, n: str, pn: str) -> str:
+        """Whether that many shared values, and what both have not retained, can make two documents alike."""
+        return f"{100 + percent}L * ({count} + greatest({hidden(n)}, {hidden(pn)})) >= {percent}L * ({n} + {pn})"
+
+    def pairs(part: DataFrame) -> DataFrame:
+        """Of the documents of a list, those of different components; those of its top component only with others."""
+        other = part.selectExpr("value", "doc pd", "n pn", "comp pc", "long pl")
+        return part.where("comp <> top").join(other, "value").where("comp <> pc and (pc = top or doc < pd)").where(fits)
+
+    # Overlaps in lists of bounded size; each longer list may add one.
+    one, two = "struct(doc, n, long)", "struct(pd as doc, pn as n, pl as long)"
+    both = pairs(left.where(F.col("size") <= PAIRED)).selectExpr(f"least({one}, {two}) x", f"greatest({one}, {two}) y")
+    counted = both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("count"))
+    near = counted.where(enough("count + least(x.long, y.long)", "x.n", "y.n")).selectExpr("x.doc a", "y.doc b")
+    # Pairs that share values of longer lists alone: enough of them, so one of the first in an order of these lists.
+    least = F.expr(f"greatest(1, n div {SPREAD})")
+    nth = F.row_number().over(Window.partitionBy("doc").orderBy("size", "value"))
+    long_ = left.where(F.col("size") > PAIRED).where(F.col("long") >= least).withColumn("nth", nth).where(F.col("nth") <= F.col("long") - least + 1)
+    far = pairs(long_).where(enough("least(long, pl)", "n", "pn")).select(F.least("doc", "pd").alias("a"), F.greatest("doc", "pd").alias("b"))
+    found = c.through_table(verify(near.unionByName(far).distinct(), sets, percent), "confirmed")
+    return components(links.unionByName(found)) if found.limit(1).count() else label
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
@@ -316,8 +317,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
     values = every.agg(F.sum("n")).first()[0] or 0
     bins = max(c.partitions(spark), int(values * (100 - percent + 100 // SPREAD) // 100 // BIN_VALUES))
     sketched = sketches(d, shared, words, percent).join(copies.select("doc_id"), "doc_id", "left_anti")
-    lists = c.through_table(shared_values(sketched, bins), "lists")
-    label = links_of(d, lists, words, percent)
+    lists = c.through_table(shared_values(sketched, bins, lambda n: np.maximum(1, n // SPREAD)), "lists")
+    sets = c.through_table(full_sets(d, lists.select("doc").distinct(), words), "sets")
+    alive = c.through_table(shared_values(sets, bins, lambda n: -(-percent * n // 100), "doc long"), "alive")
+    label = links_of(lists.join(alive, "doc", "left_semi"), sets, percent)
 
     rep = every.join(copies, "doc_id", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("doc"))
     out = rep.join(label, "doc", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc").alias("component_id"))
