@@ -60,6 +60,11 @@ def size_of(docs: DataFrame) -> int:
     return docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
+def at_home(docs: DataFrame, doc_bins: int) -> DataFrame:
+    """The documents with their bins: one exchange serves all that read them by bin."""
+    return docs.withColumn("bin", c.spread(F.col("doc_id"), doc_bins))
+
+
 def rewrite(docs: DataFrame, marked: DataFrame, doc_bins: int, window: int, of_words: bool) -> DataFrame:
     """Remove all units (words or bytes) covered by marked windows.
 
@@ -93,6 +98,6 @@ def rewrite(docs: DataFrame, marked: DataFrame, doc_bins: int, window: int, of_w
         types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
         return pa.Table.from_arrays([pa.array(x, y) for x, y in zip(cols, types)], names=["doc_id", "n_units", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    left = docs.withColumn("bin", c.spread(F.col("doc_id"), doc_bins)).groupBy("bin")
+    left = at_home(docs, doc_bins).groupBy("bin")
     right = marked.select("bin", "block").groupBy("bin")
     return c.own_id(left.cogroup(right).applyInArrow(bin_rows, "doc_id long, n_units long, n_removed long, n_spans long, kept binary, kept_sha256 string"))

@@ -1,11 +1,16 @@
 """Repeated byte strings: every byte covered by a ``window``-byte string that also starts earlier goes.
 
-Each window is anchored at its smallest ``gram``-byte gram (leftmost of equal ones), so equal windows have equal
-anchors at equal places. Stretches of windows with one anchor are segments; a segment is dealt out by its anchor, and
-all segments of one anchor, aligned on it, are compared in one task by the fingerprints of their windows. This stands
-in for the column-wise construction of a collection's Burrows-Wheeler transform; see README.
+Each window is anchored at its smallest ``gram``-byte gram (leftmost of equal ones), so equal windows have equal anchors at
+equal places. Stretches of windows with one anchor are segments. Anchors are counted over the whole collection first, and
+only segments whose anchor stands elsewhere too are dealt out by it. There, byte-equal segments are settled by their
+earliest; a segment of which no stretch of ``2 * gram`` bytes around the anchor stands in another one holds no repeat and
+goes; and the others are the documents of a collection whose Burrows-Wheeler transform and longest common prefixes are
+built column by column (see ``column_wise``). Suffixes that are neighbours with a common prefix of ``window`` bytes or more
+are the repeats.
 
-Null and empty texts have no bytes. Repeated rows of one doc_id are one document. An empty table gives an empty table.
+Null and empty texts have no bytes. Texts of any length are taken whole; long ones are cut with overlap so that each
+window is in one part. Of equal windows the first by (doc_id, place) stays. Repeated rows of one doc_id are one document. An
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -17,28 +22,44 @@ from pyspark.sql import DataFrame
 from . import common as c
 from . import repeats as r
 from . import tokens as t
+from .units import spread_out
 
-SLICE = 4 << 20
+SLICE = 1 << 19
 PLACE_BITS = 28
 PART = 64 << 20
+BYTE32 = t.mix(np.arange(1, 257, dtype=np.uint64)).astype(np.uint32)
+COLLECTION = 4 << 20
 
 
-def segments(data, offs, window, gram):
-    """Row, first window start, windows, anchor hash of each segment."""
+def anchored(data, offs, window, gram):
+    """Row, first window start, windows, anchor place and 64-bit anchor hash of each segment."""
     n = len(data)
+    none = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
     if n < window:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    g = t.mix(t.grams(t.BYTE[data], gram))
-    low = t.U((1 << PLACE_BITS) - 1)
-    least = t.sliding_min((g & ~low) | np.arange(len(g), dtype=np.uint64), window - gram + 1)
-    row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))[: len(least)]
-    at = np.arange(len(least))
-    whole = at + window <= offs[row + 1]
-    row, at, anchor = row[whole], at[whole], (least[whole] & low).astype(np.int64)
-    if not len(at):
-        return row, at, at, np.zeros(0, np.uint64)
-    heads = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])]))
-    return row[heads], at[heads], np.diff(np.append(heads, len(at))), g[anchor[heads]]
+        return none
+    g = t.mix32(t.grams(BYTE32[data], gram)).astype(np.uint64) << t.U(PLACE_BITS)
+    g |= np.arange(len(g), dtype=np.uint64)
+    least = t.sliding_min(g, window - gram + 1)
+    valid = np.zeros(len(least) + 2, bool)
+    valid[1:-1] = True
+    ends = offs[1:]
+    late = np.maximum(offs[:-1], ends - window + 1)
+    out = spread_out(late, ends - late)
+    valid[out[out < len(least)] + 1] = False
+    new = np.ones(len(least) + 1, bool)
+    new[1:-1] = least[1:] != least[:-1]
+    heads = np.flatnonzero(valid[1:-1] & (new[:-1] | ~valid[:-2]))
+    lasts = np.flatnonzero(valid[1:-1] & (new[1:] | ~valid[2:]))
+    if not len(heads):
+        return none
+    anchor = (least[heads] & t.U((1 << PLACE_BITS) - 1)).astype(np.int64)
+    return np.searchsorted(offs, heads, "right") - 1, heads, lasts - heads + 1, anchor, t.lane_hashes(data, anchor, gram)
+
+
+def segments(data, offs, window, gram):
+    """Row, first window start, windows and anchor hash of each segment."""
+    row, at, count, _, value = anchored(data, offs, window, gram)
+    return row, at, count, value
 
 
 def parts(data, offs, window, most):
@@ -51,61 +72,219 @@ def parts(data, offs, window, most):
         yield at, part, np.array([0, len(part)])
 
 
-def spread_out(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """begin[i], begin[i] + 1, .. for each i."""
-    ends = np.cumsum(size)
-    return np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
-
-
-def marked(docs: DataFrame, window: int, gram: int, bins: int) -> DataFrame:
-    def deal(batches):
-        for batch, lo, hi, data, offs in c.text_slices(batches, SLICE):
-            for shift, part, bounds in parts(data, offs, window, PART):
-                row, at, count, anchor = segments(part, bounds, window, gram)
-                if not len(row):
-                    continue
-                doc, begin = c.longs(batch, "doc_id")[lo:hi][row], at - bounds[row] + shift
-                whole = t.mix(t.range_hashes(t.BYTE[part], at, at + count + window - 1) + count.astype(np.uint64))
-                seen = r.later(whole, doc, begin)
-                yield r.marks(doc[seen], begin[seen], count[seen], bins)
-                k = np.flatnonzero(~seen)
-                target = (anchor[k] % t.U(bins)).astype(np.int32)
-                order = np.argsort(target, kind="stable")
-                k, target = k[order], target[order]
-                for one in np.split(np.arange(len(k)), np.flatnonzero(np.diff(target)) + 1):
-                    p = k[one]
-                    block = c.pack(anchor[p], doc[p], begin[p].astype(np.int32), count[p].astype(np.min_scalar_type(window - gram + 1)), part[spread_out(at[p], count[p] + window - 1)])
-                    yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([target[one[0]]], pa.int32()), pa.array([block], pa.binary())], schema=r.BLOCK)
-
-    def aligned(table: pa.Table) -> pa.Table:
+def all_segments(data, offs, window, gram):
+    """anchored() of many texts, some of them long; places are those in data."""
+    out = [[] for _ in range(5)]
+    for lo, hi in c.slices(offs, SLICE):
+        for shift, part, bounds in parts(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], window, PART):
+            row, at, count, anchor, value = anchored(part, bounds, window, gram)
+            for kept, x in zip(out, (row + lo, at + shift + offs[lo], count, anchor + shift + offs[lo], value)):
+                kept.append(x)
+    return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
+
+
+def equal_to(data, at, size, other):
+    """Whether data[at[i]:at[i] + size[i]] is what stands at other[i]; sizes are above zero."""
+    if not len(at):
+        return np.zeros(0, bool)
+    same = data[spread_out(at, size)] == data[spread_out(other, size)]
+    return np.logical_and.reduceat(same, np.cumsum(size) - size)
+
+
+def copies(data, at, size, value, doc, place):
+    """True for a segment that is byte-equal to one with a smaller (doc, place) and the same anchor value."""
+    whole = t.word_hashes(data, at, at + size) ^ value
+    order = np.argsort(whole)
+    same = whole[order][1:] == whole[order][:-1]
+    some = np.zeros(len(at), bool)
+    some[1:] |= same
+    some[:-1] |= same
+    k = order[some]
+    k = k[np.lexsort((place[k], doc[k], size[k], value[k], whole[k]))]
+    new = np.ones(len(k), bool)
+    x, y = k[1:], k[:-1]
+    new[1:] = (whole[x] != whole[y]) | (value[x] != value[y]) | (size[x] != size[y])
+    first = k[np.flatnonzero(new)][np.cumsum(new) - 1]
+    out = np.zeros(len(at), bool)
+    k, first = k[~new], first[~new]
+    out[k] = equal_to(data, at[k], size[k], at[first])
+    return out
+
+
+def least_between(values, a, b):
+    """The least of values[a:b] for each pair; a < b. Minima of runs of 1, 2, 4, .. values are made in turn."""
+    out = np.empty(len(a), values.dtype)
+    level = np.frexp((b - a).astype(np.float64))[1] - 1
+    order = np.argsort(level, kind="stable")
+    cuts = np.searchsorted(level[order], np.arange(int(level.max(initial=-1)) + 2))
+    run = values
+    for k in range(len(cuts) - 1):
+        if k:
+            run = np.minimum(run[: -(1 << k - 1)], run[1 << k - 1 :])
+        i = order[cuts[k] : cuts[k + 1]]
+        if len(i):
+            out[i] = np.minimum(run[a[i]], run[b[i] - (1 << k)])
+    return out
+
+
+def column_wise(data, at, size):
+    """Burrows-Wheeler transform and common prefixes of the strings data[at[i]:at[i] + size[i]].
+
+    One symbol of each string that has one left is inserted a round, the last one first. Three sequences are kept in the
+    order of the suffixes: the symbol before each suffix (the transform), what it has in common with the suffix before it,
+    and whose it is. A suffix c + S stands, among the new ones and the old, where S stands among the suffixes that follow a
+    c; what it has in common with its neighbours is one more than the least between theirs. Each round reads the sequences
+    from end to end and writes them anew with the new suffixes merged in.
+
+    Returns, in the order of all suffixes that are not empty: common prefix with the one before, string, length.
+    """
+    m = len(at)
+    symbols = np.unique(data[spread_out(at, size)])
+    code = np.zeros(256, np.uint8 if len(symbols) < 256 else np.uint16)
+    code[symbols] = np.arange(1, len(symbols) + 1)
+    longest = int(size.max())
+    common_type = np.uint8 if longest < 256 else np.uint16
+    # The empty suffixes, one for each string, stand first all the time; they are not kept but for their symbols.
+    before, common, owner, length = code[data[at + size - 1]], np.zeros(m, common_type), np.arange(m, dtype=np.uint32), np.zeros(m, common_type)
+    latest, who = np.arange(m), np.arange(m)  # places of the suffixes inserted last, and whose they are
+    for j in range(1, longest + 1):
+        order = np.argsort(before, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        done = int((before == 0).sum())
+        mine = place[latest]
+        # The neighbours that follow the same symbol, and the least common prefix on the way to them.
+        symbol = before[latest]
+        prior = order[np.maximum(mine - 1, 0)]
+        has_prior = (mine > 0) & (before[prior] == symbol)
+        after = order[np.minimum(mine + 1, len(order) - 1)]
+        has_after = (mine + 1 < len(order)) & (before[after] == symbol)
+        with_prior, with_after = np.zeros(len(mine), common_type), np.zeros(len(mine), common_type)
+        with_prior[has_prior] = least_between(common, prior[has_prior] + 1, latest[has_prior] + 1) + 1
+        with_after[has_after] = least_between(common, latest[has_after] + 1, after[has_after] + 1) + 1
+        new = m + mine - done
+        total = len(before) + len(new)
+        old = np.ones(total, bool)
+        old[new] = False
+        left = size[who] > j
+        symbols_before = np.zeros(len(who), before.dtype)
+        symbols_before[left] = code[data[(at + size)[who[left]] - 1 - j]]
+        merged = []
+        for was, add in ((before, symbols_before), (common, with_prior), (owner, who), (length, j)):
+            made = np.empty(total, was.dtype)
+            made[old] = was
+            made[new] = add
+            merged.append(made)
+        before, common, owner, length = merged
+        follows = new + 1
+        inside = (follows < total) & has_after
+        common[follows[inside]] = with_after[inside]
+        edge = (follows < total) & ~has_after
+        common[follows[edge]] = 0
+        keep = np.flatnonzero(left)
+        latest, who = new[keep], who[keep]
+        if not len(who):
+            break
+    return common[m:], owner[m:], length[m:]
+
+
+def marked(home: DataFrame, window: int, gram: int, bins: int) -> DataFrame:
+    def prepared(table: pa.Table):
+        data, offs = c.utf8(table["text"])
+        doc = table["doc_id"].to_numpy().astype(np.int64)
+        row, at, count, anchor, value = all_segments(data, offs, window, gram)
+        return data, doc[row], at, at - offs[row], count, anchor, value
+
+    def name(value):
+        """An anchor as its bin and 32 more bits."""
+        return (value % t.U(bins)).astype(np.int32), (value >> t.U(32)).astype(np.uint32)
+
+    def anchors(table: pa.Table) -> pa.Table:
+        """The distinct anchors of a bin of documents, to where they are counted."""
+        value = np.unique(prepared(table)[6])
+        target, rest = name(value)
+        home_bin = np.full(len(value), table["bin"][0].as_py() if table.num_rows else 0, np.int32)
+        return pa.Table.from_batches([r.rows_by_bin(0, target, rest, home_bin)])
+
+    def several(table: pa.Table) -> pa.Table:
+        """The anchors that stand in several bins of documents, back to each of them."""
+        rest, home_bin = (np.concatenate(x) for x in zip(*map(c.unpack, table["block"].to_pylist())))
+        order = np.argsort(rest, kind="stable")
+        same = rest[order][1:] == rest[order][:-1]
+        found = np.zeros(len(rest), bool)
+        found[order[1:]] |= same
+        found[order[:-1]] |= same
+        here = np.full(int(found.sum()), table["bin"][0].as_py(), np.int32)
+        return pa.Table.from_batches([r.rows_by_bin(0, home_bin[found], rest[found], here)])
+
+    def deal(left: pa.Table, right: pa.Table) -> pa.Table:
+        data, doc, at, begin, count, anchor, value = prepared(left)
+        blocks = [c.unpack(b) for b in right["block"].to_pylist()]
+        if not len(at):
+            return pa.Table.from_batches([], schema=r.BLOCK)
+        seen = copies(data, at, count + window - 1, value, doc, begin)
+        out = [r.marks(doc[seen], begin[seen], count[seen], bins)]
+        target, rest = name(value)
+        mine = target.astype(np.uint64) << t.U(32) | rest
+        known = np.concatenate([b[1].astype(np.uint64) << t.U(32) | b[0] for b in blocks]) if blocks else np.zeros(0, np.uint64)
+        k = np.flatnonzero(~seen)
+        _, which, times = np.unique(mine[k], return_inverse=True, return_counts=True)
+        k = k[(times[which] > 1) | np.isin(mine[k], known)]
+        k = k[np.argsort(target[k], kind="stable")]
+        for p in np.split(k, np.flatnonzero(np.diff(target[k])) + 1):
+            if len(p):
+                block = c.pack(value[p], doc[p], begin[p].astype(np.int32), count[p].astype(np.min_scalar_type(window - gram + 1)), (anchor[p] - at[p]).astype(np.min_scalar_type(window)), data[spread_out(at[p], count[p] + window - 1)])
+                out.append(pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([target[p[0]]], pa.int32()), pa.array([block], pa.binary())], schema=r.BLOCK))
+        return pa.Table.from_batches(out, schema=r.BLOCK)
+
+    def compared(table: pa.Table) -> pa.Table:
         table, blocks = r.settled(table)
         if not blocks:
             return table
-        anchor, doc, begin, count, data = (np.concatenate(x) for x in zip(*map(c.unpack, blocks)))
-        begin, count = begin.astype(np.int64), count.astype(np.int64)
-        where = np.concatenate([[0], np.cumsum(count + window - 1)[:-1]])
-        order = np.argsort(anchor, kind="stable")
-        same = anchor[order][1:] == anchor[order][:-1]
-        shared = np.zeros(len(anchor), bool)
-        shared[order[1:]] |= same
-        shared[order[:-1]] |= same
-        k = np.flatnonzero(shared)
-        k = k[np.argsort(anchor[k], kind="stable")]
-        out = []
-        for part in runs(anchor[k], count[k], 1 << 20):
+        value, doc, begin, count, anchor, data = (np.concatenate(x) for x in zip(*map(c.unpack, blocks)))
+        begin, count, anchor = begin.astype(np.int64), count.astype(np.int64), anchor.astype(np.int64)
+        size = count + window - 1
+        at = np.cumsum(size) - size
+        seen = copies(data, at, size, value, doc, begin)
+        out = [r.marks(doc[seen], begin[seen], count[seen], bins)]
+        k = np.flatnonzero(~seen)
+        k = k[may_repeat(data, at[k], size[k], anchor[k], gram, window)]
+        k = k[np.argsort(value[k], kind="stable")]
+        for part in runs(value[k], size[k], COLLECTION):
             p = k[part]
-            size = count[p] + window - 1
-            text = data[spread_out(where[p], size)]
-            local = np.concatenate([[0], np.cumsum(size)[:-1]])
-            start = spread_out(local, count[p])
-            seg = np.repeat(np.arange(len(p)), count[p])
-            value = t.mix(t.range_hashes(t.BYTE[text], start, start + window))
-            place = begin[p][seg] + start - local[seg]
-            seen = r.later(value, doc[p][seg], place)
-            out.append(r.marks(doc[p][seg][seen], place[seen], np.ones(int(seen.sum()), np.int64), bins))
+            if len(p) < 2:
+                continue
+            common, string, length = column_wise(data, at[p], size[p])
+            group = np.cumsum(common < window)
+            again = np.zeros(len(group) + 1, bool)
+            again[:-1] = common >= window
+            alike = np.flatnonzero(again[:-1] | again[1:])
+            string, offset = string[alike].astype(np.int64), size[p][string[alike]] - length[alike]
+            where = begin[p][string] + offset
+            late = r.later(group[alike], doc[p][string], where)
+            out.append(r.marks(doc[p][string][late], where[late], np.ones(int(late.sum()), np.int64), bins))
         return pa.concat_tables([table, pa.Table.from_batches(out, schema=r.BLOCK)])
 
-    return docs.mapInArrow(deal, r.BLOCK_DDL).groupBy(r.key(bins)).applyInArrow(aligned, r.BLOCK_DDL)
+    found = home.groupBy("bin").applyInArrow(anchors, r.BLOCK_DDL).groupBy("bin").applyInArrow(several, r.BLOCK_DDL)
+    dealt = home.groupBy("bin").cogroup(found.groupBy("bin")).applyInArrow(deal, r.BLOCK_DDL)
+    return dealt.groupBy(r.key(bins)).applyInArrow(compared, r.BLOCK_DDL)
+
+
+def may_repeat(data, at, size, anchor, gram, window):
+    """False where no window can stand in another segment of the same anchor.
+
+    A window that begins a bytes before its anchor reaches window - gram - a bytes beyond it; so it holds, around the
+    anchor, one of the stretches below whatever a is.
+    """
+    room = window - gram
+    third = room // 3
+    out = np.zeros(len(at), bool)
+    for before, behind in ((0, room - third), (third, third), (room - third, 0)):
+        have = np.flatnonzero((anchor >= before) & (anchor + gram + behind <= size))
+        h = t.lane_hashes(data, at[have] + anchor[have] - before, before + gram + behind)
+        _, which, times = np.unique(h, return_inverse=True, return_counts=True)
+        out[have] |= times[which] > 1
+    return out
 
 
 def runs(keys: np.ndarray, weight: np.ndarray, most: int):
@@ -125,4 +304,4 @@ def dedup(docs: DataFrame, window: int = 100, gram: int = 40) -> DataFrame:
     """doc_id, n_units (bytes), n_removed, n_spans, kept and kept_sha256; see repeats.rewrite."""
     d = c.documents(docs)
     bins = max(c.partitions(docs.sparkSession), r.size_of(d) // r.BIN_BYTES)
-    return r.rewrite(d, marked(d, window, gram, bins), bins, window, False)
+    return r.rewrite(d, marked(r.at_home(d, bins), window, gram, bins), bins, window, False)

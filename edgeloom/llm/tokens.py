@@ -8,9 +8,7 @@ import numpy as np
 
 U = np.uint64
 M64 = 2**64
-_rng = np.random.default_rng(20240229)
-#: A random 64-bit number for each byte, and the two odd bases of the polynomial hashes.
-BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
+#: The odd factors of the hashes.
 BASE, BASE2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 #: Bytes that end a word: ASCII white space; or all of ASCII but digits and small letters.
@@ -22,22 +20,6 @@ NOT_PLAIN[[*range(0, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i mod 2**64 for i < n or more."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(1 << 21, 1 << int(n).bit_length())
-        out = []
-        for b in (base, pow(base, -1, M64)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            out.append(np.cumprod(p))
-        _powers[base] = have = (out[0], out[1])
-    return have
-
 
 def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> U(30))
@@ -63,14 +45,6 @@ def split(data: np.ndarray, offs: np.ndarray, ends_word: np.ndarray) -> tuple[np
     return s, e, np.searchsorted(s, offs)
 
 
-def range_hashes(values: np.ndarray, a: np.ndarray, b: np.ndarray, base: int = BASE) -> np.ndarray:
-    """A hash of values[a:b] for each pair of ends, the same wherever the values stand."""
-    p, inverse = powers(base, len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * p[: len(values)], out=total[1:])
-    return (total[b] - total[a]) * inverse[a]
-
-
 LANE = np.array([(1 << 8 * i) - 1 for i in range(8)] + [M64 - 1], np.uint64)
 #: Longer words are hashed by blake2b.
 LONG_WORD = 256
@@ -95,13 +69,33 @@ def word_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
 
 
 def grams(h: np.ndarray, n: int, base: int = BASE2) -> np.ndarray:
-    """A hash of every n consecutive values; not mixed."""
+    """A hash of every n consecutive values, of their type (64 or 32 bits); not mixed."""
     if n == 1:
         return h
     k = n // 2
-    a, b = grams(h, k, base), grams(h, n - k, base)
+    a = grams(h, k, base)
+    b = a if n - k == k else grams(h, n - k, base)
     m = max(0, len(h) - n + 1)
-    return a[:m] * U(pow(base, n - k, M64)) + b[k : k + m]
+    return a[:m] * h.dtype.type(pow(base, n - k, 1 << 8 * h.itemsize)) + b[k : k + m]
+
+
+def mix32(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint32(16))
+    h *= np.uint32(0x7FEB352D)
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x846CA68B)
+    h ^= h >> np.uint32(16)
+    return h
+
+
+def lane_hashes(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """64 bits for each data[at:at + size], eight bytes at a time."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    h = np.full(len(at), size * BASE % M64, np.uint64)
+    for i in range(0, size, 8):
+        h = mix(h * U(BASE2) + (lanes[at + i] & LANE[min(8, size - i)]))
+    return h
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
