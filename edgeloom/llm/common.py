@@ -12,6 +12,8 @@ Conventions that hold for every operator of this subpackage:
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NO_ID = -(2**63)
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,8 +52,23 @@ def partitions(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let no batch that Python gets be much larger than BATCH_BYTES, however long the texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, str(BATCH_BYTES + 1))) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def tidy() -> None:
+    """Give freed memory back to the system: the worker may wait beside others for its next task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def documents(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with one row for each id and no null id (see the conventions above)."""
+    bounded_batches(docs.sparkSession)
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     repeated = d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
     return d.groupBy("doc_id").agg(F.max("text").alias("text")) if repeated else d
@@ -138,6 +156,7 @@ def text_slices(batches, most: int = 1 << 21, text: str = "text"):
         data, offs = utf8(batch.column(batch.schema.get_field_index(text)))
         for lo, hi in slices(offs, most):
             yield batch, lo, hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
+    tidy()
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -136,7 +136,7 @@ def shared_values(sketched: DataFrame, bins: int, enough, schema: str = "value l
     def deal(batches):
         for batch in batches:
             kept, offs = c.utf8(c.column(batch, "kept"))
-            for lo, hi in c.slices(offs, 8 << 20):
+            for lo, hi in c.slices(offs, 2 << 20):
                 value = kept[offs[lo] : offs[hi]].view("<u8")
                 count = np.diff(offs[lo : hi + 1]) // 8
                 doc, n = np.repeat(c.longs(batch, "doc_id")[lo:hi], count), np.repeat(c.longs(batch, "n")[lo:hi], count).astype(np.int32)
@@ -235,6 +235,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 for i in range(batch.num_rows)
             ]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        c.tidy()
 
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(rows, "a long, b long")
 
@@ -316,7 +317,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
     shared = spark.sparkContext.broadcast(crowded(keys))
     values = every.agg(F.sum("n")).first()[0] or 0
     bins = max(c.partitions(spark), int(values * (100 - percent + 100 // SPREAD) // 100 // BIN_VALUES))
-    sketched = sketches(d, shared, words, percent).join(copies.select("doc_id"), "doc_id", "left_anti")
+    # Written, so that no task runs two Python workers at once.
+    sketched = c.through_table(sketches(d, shared, words, percent).join(copies.select("doc_id"), "doc_id", "left_anti"), "sketches")
     lists = c.through_table(shared_values(sketched, bins, lambda n: np.maximum(1, n // SPREAD)), "lists")
     sets = c.through_table(full_sets(d, lists.select("doc").distinct(), words), "sets")
     alive = c.through_table(shared_values(sets, bins, lambda n: -(-percent * n // 100), "doc long"), "alive")

@@ -44,6 +44,7 @@ def key(groups: int):
 
 def settled(table: pa.Table) -> tuple[pa.Table, list[bytes]]:
     """The marks of a group, as they came, and its blocks to compare."""
+    c.tidy()
     kinds = table["kind"].to_numpy()
     return table.select(BLOCK.names).filter(pa.array(kinds == 1)).cast(BLOCK), table.filter(pa.array(kinds == 0))["block"].to_pylist()
 
