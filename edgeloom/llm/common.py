@@ -53,9 +53,9 @@ def partitions(spark: SparkSession) -> int:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Let no batch that Python gets be much larger than BATCH_BYTES, however long the texts."""
+    """Let no batch that Python gets be much larger than BATCH_BYTES, however long the texts, unless the session says more."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key, str(BATCH_BYTES + 1))) > BATCH_BYTES:
+    if spark.conf.get(key, "0") == "0":
         spark.conf.set(key, str(BATCH_BYTES))
 
 
