@@ -28,15 +28,25 @@ def uniforms_sql(key: str, levels: str, seed: int) -> str:
 
 def compatible_sql(v: str, scale: int, seed: int = 42) -> str:
     """The benchmark's own scramble; it merges vertices."""
-    x = f"((({v}) * 2654435761 + {seed * 1013904223 & MASK}) & {MASK})"
+    x = f"(((({v}) & {MASK}) * -1640531535 + {seed * 1013904223 & MASK}) & {MASK})"
     return f"(({x} ^ shiftright({x}, {scale})) & {(1 << scale) - 1})"
 
 
+def times_sql(x: str, factor: int, scale: int) -> str:
+    """x * factor modulo 2**scale without overflow, for x of scale bits: in two halves beyond 31 bits, up to 46."""
+    m = (1 << scale) - 1
+    if scale <= 31:
+        return f"((({x}) * {factor}) & {m})"
+    if scale > 46:
+        raise ValueError("a scale of more than 46 bits")
+    return f"(((({x}) & 65535) * {factor} + shiftleft((shiftright({x}, 16) * {factor}) & {m >> 16}, 16)) & {m})"
+
+
 def bijective_sql(v: str, scale: int) -> str:
     """Odd multiply, xor-shift by half the bits, odd multiply, each modulo 2**scale: no two vertices merge."""
-    m, half = (1 << scale) - 1, (scale + 1) // 2
-    x = f"((({v}) * 2654435761) & {m})"
-    return f"((({x} ^ shiftright({x}, {half})) * 2146121005) & {m})"
+    half = (scale + 1) // 2
+    x = times_sql(v, 2654435761, scale)
+    return times_sql(f"({x} ^ shiftright({x}, {half}))", 2146121005, scale)
 
 
 SCRAMBLES = {"bijective": bijective_sql, "compatible": compatible_sql}

@@ -48,14 +48,18 @@ def _one(edges: DataFrame, root: int) -> DataFrame:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """End the lineage in the shared folder of spark.checkpoint.dir."""
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="edgeloom-"))
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
+    """End the lineage in the shared folder of spark.checkpoint.dir; without that setting a local session makes one up."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="edgeloom-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 

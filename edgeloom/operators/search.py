@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from .graph import _cut, out_degree
 
+COMPACT = 16
+
 
 def sample_roots(edges: DataFrame, n: int = 64, seed: int = 42) -> DataFrame:
     """n vertices of degree one or more, or all if there are fewer, by a hash of the id."""
-    return out_degree(edges).orderBy(F.expr(f"((vertex * 2654435761) + {seed * 40503}) & 4294967295"), "vertex").limit(n).select(F.col("vertex").alias("root"))
+    return out_degree(edges).orderBy(F.expr(f"((vertex & 4294967295) * -1640531535 + {seed * 40503 & 4294967295}) & 4294967295"), "vertex").limit(n).select(F.col("vertex").alias("root"))
 
 
 def use_bottom_up(before: bool, volume: int, edges_n: int, size: int, vertices_n: int, alpha: float, beta: float) -> bool:
@@ -24,32 +26,50 @@ def use_bottom_up(before: bool, volume: int, edges_n: int, size: int, vertices_n
 def bfs_multi(edges: DataFrame, roots: DataFrame, alpha: float = 14, beta: float = 24, log: list | None = None) -> DataFrame:
     """(root, vertex, depth, parent); the parent is the least vertex of the level above.
 
-    A level of large edge volume is expanded from the unvisited side (``log`` gets level, size, volume, direction).
+    The edges are dealt by source once. Each level is a table of its own: only new candidates are exchanged and taken
+    against the levels before, and no level is written twice but when COMPACT of them are put together. A level of large
+    edge volume is expanded from the unvisited side: vertices that no search has reached yet look for a neighbour in the
+    frontier, for any number of roots (``log`` gets level, size, volume, direction).
     """
-    degree = out_degree(edges).persist()
-    edges = edges.select("src", "dst").persist()
-    vertices_n, edges_n = edges.select(F.explode(F.array("src", "dst")).alias("v")).distinct().count(), edges.count()
-    state = _cut(roots.selectExpr("root", "root vertex", "0 depth", "root parent").distinct())
-    searches, level, up = state.count(), 0, False
+    spark = edges.sparkSession
+    by_source = edges.select("src", "dst").repartition(_partitions(spark), "src").persist()
+    by_target = None
+    vertices = _cut(edges.select(F.explode(F.array(F.struct(F.col("src").alias("vertex"), F.lit(1).alias("one")), F.struct(F.col("dst").alias("vertex"), F.lit(0).alias("one")))).alias("e")).groupBy("e.vertex").agg(F.sum("e.one").alias("degree")))
+    vertices_n, edges_n = vertices.agg(F.count(F.lit(1)), F.coalesce(F.sum("degree"), F.lit(0))).first()
+    front = _cut(roots.selectExpr("root", "root vertex", "0 depth", "root parent").distinct().join(vertices, "vertex", "left").selectExpr("root", "vertex", "depth", "parent", "coalesce(degree, 0L) degree"))
+    levels, level, up, searches = [], 0, False, None
     while True:
-        front = state.where(F.col("depth") == level)
-        size, volume = front.join(degree, "vertex", "left").agg(F.count(F.lit(1)), F.coalesce(F.sum("degree"), F.lit(0))).first()
+        size, volume = front.agg(F.count(F.lit(1)), F.coalesce(F.sum("degree"), F.lit(0))).first()
+        searches = size if searches is None else searches
         if not size:
-            edges.unpersist(), degree.unpersist()
-            return state
+            by_source.unpersist()
+            if by_target is not None:
+                by_target.unpersist()
+            return _union([*levels, front]).select("root", "vertex", "depth", "parent")
         up = use_bottom_up(up, volume, edges_n * searches, size, vertices_n * searches, alpha, beta)
         if log is not None:
             log.append((level, size, volume, int(up)))
+        levels.append(front)
+        if len(levels) > COMPACT:
+            levels = [_cut(_union(levels))]
+        known = _union([x.select("root", "vertex") for x in levels])
         here = front.select("root", F.col("vertex").alias("src"))
-        reach = edges
-        if up and searches == 1:  # from the side of what is not yet visited
-            reach = edges.join(state.select(F.col("vertex").alias("dst")), "dst", "left_anti")
-        step = here.join(reach, "src").groupBy("root", F.col("dst").alias("vertex")).agg(F.min("src").alias("parent")).select("root", "vertex", F.lit(level + 1).alias("depth"), "parent")
-        best = state.unionByName(step).groupBy("root", "vertex").agg(F.min(F.struct("depth", "parent")).alias("x"))
-        state = _cut(best.select("root", "vertex", "x.depth", "x.parent"))
+        if up:
+            by_target = by_target if by_target is not None else edges.select("src", "dst").repartition(_partitions(spark), "dst").persist()
+            # Vertices that some search has yet to reach, once each, whatever the number of searches.
+            full = known.groupBy("vertex").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= searches).select(F.col("vertex").alias("dst"))
+            step = by_target.join(full, "dst", "left_anti").join(here, "src")
+        else:
+            step = here.join(by_source, "src")
+        fresh = step.groupBy("root", F.col("dst").alias("vertex")).agg(F.min("src").alias("parent")).join(known, ["root", "vertex"], "left_anti")
+        front = _cut(fresh.join(vertices, "vertex").select("root", "vertex", F.lit(level + 1).alias("depth"), "parent", "degree"))
         level += 1
 
 
+def _partitions(spark) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 def sssp_multi(edges: DataFrame, roots: DataFrame, delta: float | None = None) -> DataFrame:
     """(root, vertex, dist) over non-negative weights.
 
@@ -136,7 +156,7 @@ def searches(edges: DataFrame, found: DataFrame) -> DataFrame:
     return per.join(d.selectExpr("vertex root", "degree"), "root", "left").select("root", F.coalesce("degree", F.lit(0)).alias("degree"), "reached", "traversed")
 
 
-def at_ranks(values: DataFrame, column: str, ranks: dict[str, str]) -> DataFrame:
+def at_ranks(values: DataFrame, column: str, ranks: dict[str, str], also_count: bool = False) -> DataFrame:
     """One row: for each name the value at a rank (from 0, an expression of the count ``m``) of the ascending values.
 
     Exact, and no task holds all values: distinct values with their counts are dealt by ranges, then running sums are
@@ -148,7 +168,7 @@ def at_ranks(values: DataFrame, column: str, ranks: dict[str, str]) -> DataFrame
     before = sums.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
     inside = F.sum("n").over(Window.partitionBy("part").orderBy("x")) - F.col("n")
     placed = dealt.withColumn("inside", inside).join(F.broadcast(before), "part").crossJoin(F.broadcast(sums.agg(F.sum("total").alias("m")))).selectExpr("x", "n", "m", "before + inside below")
-    return placed.agg(*(F.expr(f"max(case when below <= {rank} and {rank} < below + n then x end)").alias(name) for name, rank in ranks.items()))
+    return placed.agg(*(F.expr(f"max(case when below <= {rank} and {rank} < below + n then x end)").alias(name) for name, rank in ranks.items()), *([F.max("m").alias("m")] if also_count else []))
 
 
 def rate_stats(rates: DataFrame) -> DataFrame:
