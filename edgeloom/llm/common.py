@@ -55,7 +55,7 @@ def partitions(spark: SparkSession) -> int:
 def bounded_batches(spark: SparkSession) -> None:
     """Let no batch that Python gets be much larger than BATCH_BYTES, however long the texts, unless the session says more."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "0") == "0":
+    if spark.conf.get(key, "1") == "1":
         spark.conf.set(key, str(BATCH_BYTES))
 
 
