@@ -170,6 +170,14 @@ def encoder(tokenizer: str) -> Encoder:
     return Encoder(tokenizer)
 
 
+def narrowest(values: np.ndarray) -> np.ndarray:
+    """The first selector whose width holds each value."""
+    return np.searchsorted(np.uint64(1) << WIDTHS.astype(np.uint64), values, "right").astype(np.int8)
+
+
+SMALL = narrowest(np.arange(1 << 16, dtype=np.uint64))
+
+
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words, escape places, escape values)."""
     ids = np.asarray(ids, np.uint64)
@@ -178,12 +186,21 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     plain[at] = 0
     n = len(ids)
     padded = np.concatenate([plain, np.zeros(60, np.uint64)])
-    least = np.searchsorted(np.uint64(1) << WIDTHS.astype(np.uint64), padded, "right").astype(np.int8)
+    least = SMALL[(padded & np.uint64(0xFFFF)).astype(np.uint16)]
+    large = np.flatnonzero(padded >> np.uint64(16))
+    least[large] = narrowest(padded[large])
+    # The widest id among the next 1, 2, 4, .. 32 ones; any run is two of those.
+    runs = [least]
+    while len(runs) < 6:
+        half = 1 << len(runs) - 1
+        runs.append(np.maximum(runs[-1][:-half], runs[-1][half:]))
     best = np.full(n, len(WIDTHS) - 1, np.int8)
     for k in range(len(WIDTHS) - 2, -1, -1):
-        wide = np.concatenate([[0], np.cumsum(least > k)])
-        best[(wide[COUNTS[k] : COUNTS[k] + n] - wide[:n]) == 0] = k
-    step, starts, i = COUNTS[best].tolist(), [], 0
+        count = int(COUNTS[k])
+        run = runs[min(len(runs), count.bit_length()) - 1]
+        size = 1 << min(len(runs), count.bit_length()) - 1
+        best[np.maximum(run[:n], run[count - size : count - size + n]) <= k] = k
+    step, starts, i = COUNTS[best].astype(np.uint8).tobytes(), [], 0
     while i < n:
         starts.append(i)
         i += step[i]

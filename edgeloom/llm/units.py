@@ -9,22 +9,35 @@ REMEMBERED, LONGEST_REMEMBERED = 300_000, 40
 
 
 class Store:
-    """Ids of units as little-endian unsigned 32-bit integers: a store of bounded size before ``make``."""
+    """Ids of units as little-endian unsigned 32-bit integers: a store of bounded size before ``make``.
+
+    Once it holds REMEMBERED units it becomes the old one, which is dropped when the next is full; what is asked for again
+    is taken over.
+    """
 
     def __init__(self, make):
         """make: from a list of units (bytes) to the list of their ids."""
         self.make = make
         self.seen: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def ids(self, units: list[bytes]) -> list[bytes]:
         if len(self.seen) > REMEMBERED:
-            self.seen = {}
-        got = list(map(self.seen.get, units))
-        fresh = [i for i, x in enumerate(got) if x is None]
+            self.old, self.seen = self.seen, {}
+        seen, old = self.seen, self.old
+        got = list(map(seen.get, units))
+        fresh = []
+        for i, x in enumerate(got):
+            if x is None:
+                x = old.get(units[i])
+                if x is None:
+                    fresh.append(i)
+                else:
+                    got[i] = seen[units[i]] = x
         for i, made in zip(fresh, self.make([units[i] for i in fresh]) if fresh else ()):
             got[i] = made
             if len(units[i]) <= LONGEST_REMEMBERED:
-                self.seen[units[i]] = made
+                seen[units[i]] = made
         return got
 
 
