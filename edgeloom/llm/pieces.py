@@ -32,7 +32,8 @@ from . import common as c
 from . import units as u
 
 SPACE = "\u2581"
-SLICE = 4 << 20
+SLICE = 2 << 20
+REMEMBERED = 100_000
 SCHEMA = "doc_id long, ids array<int>, text string"
 
 
@@ -78,7 +79,7 @@ class Transducer:
         size = np.array([len(raw.get(i, b"")) for i in range(max(raw) + 1)], np.int64)
         self.size, self.begin = size, np.cumsum(size) - size
         self.raw = np.frombuffer(b"".join(raw.get(i, b"") for i in range(len(size))), np.uint8)
-        self.store = u.Store(lambda units: [np.array(self.shortest(x.decode()), "<u4").tobytes() for x in units])
+        self.store = u.Store(lambda units: [np.array(self.shortest(x.decode()), "<u4").tobytes() for x in units], REMEMBERED)
 
     def shortest(self, unit: str) -> list[int]:
         n = len(unit)

@@ -11,18 +11,18 @@ REMEMBERED, LONGEST_REMEMBERED = 300_000, 40
 class Store:
     """Ids of units as little-endian unsigned 32-bit integers: a store of bounded size before ``make``.
 
-    Once it holds REMEMBERED units it becomes the old one, which is dropped when the next is full; what is asked for again
+    Once it holds ``limit`` units it becomes the old one, which is dropped when the next is full; what is asked for again
     is taken over.
     """
 
-    def __init__(self, make):
+    def __init__(self, make, limit: int = REMEMBERED):
         """make: from a list of units (bytes) to the list of their ids."""
-        self.make = make
+        self.make, self.limit = make, limit
         self.seen: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     def ids(self, units: list[bytes]) -> list[bytes]:
-        if len(self.seen) > REMEMBERED:
+        if len(self.seen) > self.limit:
             self.old, self.seen = self.seen, {}
         seen, old = self.seen, self.old
         got = list(map(seen.get, units))
