@@ -70,6 +70,49 @@ def _partitions(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def in_discovery_order(edges: DataFrame, root: int) -> DataFrame:
+    """(vertex, depth, parent, place) where each level is scanned in the order of its discovery.
+
+    A vertex's parent is the first of the level above, in that order, with an edge to it, and a level's order is that of its
+    parents, then of the ids.
+    """
+    by_source = edges.select("src", "dst").persist()
+    front = _cut(edges.sparkSession.range(root, root + 1).selectExpr("id vertex", "0 depth", "id parent", "0L place"))
+    levels, depth = [front], 0
+    while True:
+        known = _union([x.select("vertex") for x in levels])
+        step = front.selectExpr("vertex src", "place above").join(by_source, "src").groupBy(F.col("dst").alias("vertex")).agg(F.min(F.struct("above", "src")).alias("x"))
+        depth += 1
+        fresh = _cut(step.join(known, "vertex", "left_anti").orderBy("x.above", "vertex").select("vertex", F.lit(depth).alias("depth"), F.col("x.src").alias("parent"), F.monotonically_increasing_id().alias("place")))
+        if not fresh.limit(1).count():
+            by_source.unpersist()
+            return _union(levels)
+        levels.append(fresh)
+        if len(levels) > COMPACT:
+            levels = [_cut(_union(levels))]
+        front = fresh
+
+
+def random_root(spark, vertices_n: int, seed: int = 42) -> DataFrame:
+    """(root): one of all ids below vertices_n, also one without edges; by a hash of the id."""
+    order = F.expr(f"((id & 4294967295) * -1640531535 + {seed * 40503 & 4294967295}) & 4294967295")
+    return spark.range(vertices_n).orderBy(order, "id").limit(1).selectExpr("id root")
+
+
+def timed(edges: DataFrame, roots: list[int], search) -> DataFrame:
+    """(search, root, degree, reached, traversed, seconds, teps): the roots one by one, search(edges, root frame) timed."""
+    import time
+
+    spark, rows = edges.sparkSession, []
+    for i, root in enumerate(roots):
+        began = time.time()
+        found = search(edges, spark.createDataFrame([(root,)], "root long"))
+        r = searches(edges, found).first()
+        seconds = time.time() - began
+        rows.append((i, root, r["degree"], r["reached"], r["traversed"], seconds, r["traversed"] / seconds if seconds > 0 else 0.0))
+    return spark.createDataFrame(rows, "search int, root long, degree long, reached long, traversed long, seconds double, teps double")
+
+
 def sssp_multi(edges: DataFrame, roots: DataFrame, delta: float | None = None) -> DataFrame:
     """(root, vertex, dist) over non-negative weights.
 

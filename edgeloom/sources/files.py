@@ -1,118 +1,209 @@
 """Graph files: binary and text compressed sparse row, npz, edge lists.
 
-Binary files are read and written in row ranges by the executors (on a file system they share). Text rows and npz hold
-whole arrays in one line or member, so the driver handles them: use them for graphs that fit it.
+A file of one of the first three kinds is one sequence of arrays. It is written as a stream: executors make blocks of
+bytes in order, the driver passes one partition's blocks on at a time, so that no array has to fit into it; the stream goes
+to a temporary name on any file system that Spark knows, which becomes the file only when all is written. Binary files
+and uncompressed npz are read in row ranges by the executors, from a path that they can open. Text rows and compressed
+npz hold whole arrays in one line or member, so the driver reads them: use them for graphs that fit it.
+
+Files begin with eight bytes of the reader's and writer's choice (``magic``). The default is this library's own; give the
+other program's to exchange files with it.
 """
 
 from __future__ import annotations
 
+import contextlib
 import os
 import struct
+import tempfile
+import uuid
+import zipfile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from edgeloom.operators.graph import _cut
 from edgeloom.operators.search import row_pointers
 
 HEADER = "<8s4Q"  # fixed values: magic, vertices, entries, weighted, reserved
-MAGIC = b"GRAPH500"
+MAGIC = b"EDGELOOM"
 HEADER_BYTES = struct.calcsize(HEADER)
 EDGES = "src long, dst long, w double"
 
 
-def write_binary(edges: DataFrame, vertices_n: int, path: str, weighted: bool = True) -> None:
-    m = edges.count()
-    with open(path, "wb") as f:
-        f.write(struct.pack(HEADER, MAGIC, vertices_n, m, int(weighted), 0))
-        f.truncate(HEADER_BYTES + 8 * (vertices_n + 1) + 8 * m * (2 if weighted else 1))
-    indices = HEADER_BYTES + 8 * (vertices_n + 1)
+class _Stream:
+    """A file under a temporary name, as an object that zipfile can write to."""
 
-    def pointers(batches):
-        for b in batches:
-            with open(path, "r+b") as f:
-                for v, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    f.seek(HEADER_BYTES + 8 * v)
-                    f.write(struct.pack("<Q", p))
-        yield pa.RecordBatch.from_pydict({"n": pa.array([0], pa.int64())})
+    def __init__(self, spark: SparkSession, path: str):
+        jvm = spark._jvm
+        self.target = jvm.org.apache.hadoop.fs.Path(path)
+        self.made = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
+        self.fs = self.target.getFileSystem(spark._jsc.hadoopConfiguration())
+        self.out = self.fs.create(self.made, True)
+
+    def write(self, data) -> int:
+        self.out.write(bytes(data))
+        return len(data)
+
+    def flush(self) -> None:
+        pass
 
-    def entries(batches):
+
+@contextlib.contextmanager
+def _written(spark: SparkSession, path: str):
+    """A stream that becomes the file at the end; after an error there is none."""
+    stream = _Stream(spark, path)
+    try:
+        yield stream
+        stream.out.close()
+        if stream.fs.exists(stream.target):
+            stream.fs.delete(stream.target, False)
+        if not stream.fs.rename(stream.made, stream.target):
+            raise OSError(f"cannot write {path}")
+    except BaseException:
+        with contextlib.suppress(Exception):
+            stream.out.close()
+        stream.fs.delete(stream.made, False)
+        raise
+
+
+def _blocks(ordered: DataFrame, column: str, to_bytes):
+    """The column's values as blocks of bytes, in the order of the frame."""
+
+    def rows(batches):
         for b in batches:
-            at = b.column(2).to_numpy()
-            dst, w = b.column(0).to_numpy().astype("<u8"), b.column(1).to_numpy().astype("<f8")
-            cuts = [0, *(np.flatnonzero(np.diff(at) != 1) + 1).tolist(), len(at)]
-            with open(path, "r+b") as f:
-                for lo, hi in zip(cuts, cuts[1:]):
-                    if hi > lo:
-                        f.seek(indices + 8 * int(at[lo]))
-                        f.write(dst[lo:hi].tobytes())
-                        if weighted:
-                            f.seek(indices + 8 * m + 8 * int(at[lo]))
-                            f.write(w[lo:hi].tobytes())
-        yield pa.RecordBatch.from_pydict({"n": pa.array([0], pa.int64())})
-
-    ptr = row_pointers(edges, vertices_n)
-    ptr.mapInArrow(pointers, "n long").count()
-    placed = edges.select("src", "dst", F.coalesce("w", F.lit(1.0)).alias("w")).join(ptr.selectExpr("vertex src", "indptr"), "src")
-    slot = F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1
-    placed.select("dst", "w", (F.col("indptr") + slot).alias("at")).mapInArrow(entries, "n long").count()
+            yield pa.RecordBatch.from_arrays([pa.array([to_bytes(b.column(0).to_numpy(zero_copy_only=False))], pa.binary())], names=["block"])
+
+    for r in ordered.select(column).mapInArrow(rows, "block binary").toLocalIterator():
+        yield bytes(r["block"])
+
+
+def _raw(kind: str):
+    return lambda x: x.astype(kind).tobytes()
+
+
+def _checked(edges: DataFrame, vertices_n: int) -> tuple[DataFrame, int]:
+    """Entries in row order and their number; ValueError if a vertex is out of bounds."""
+    n, lo, hi = edges.agg(F.count(F.lit(1)), F.min(F.least("src", "dst")), F.max(F.greatest("src", "dst"))).first()
+    if n and (lo < 0 or hi >= vertices_n):
+        raise ValueError(f"vertices from {lo} to {hi} in a graph of {vertices_n}")
+    return _cut(edges.select("src", "dst", F.coalesce("w", F.lit(1.0)).alias("w")).orderBy("src", "dst", "w")), n
+
 
+def write_binary(edges: DataFrame, vertices_n: int, path: str, weighted: bool = True, magic: bytes = MAGIC) -> None:
+    spark = edges.sparkSession
+    entries, m = _checked(edges, vertices_n)
+    with _written(spark, path) as out:
+        out.write(struct.pack(HEADER, magic, vertices_n, m, int(weighted), 0))
+        for block in _blocks(row_pointers(edges, vertices_n).orderBy("vertex"), "indptr", _raw("<u8")):
+            out.write(block)
+        for column, kind in (("dst", "<u8"), ("w", "<f8"))[: 2 if weighted else 1]:
+            for block in _blocks(entries, column, _raw(kind)):
+                out.write(block)
 
-def read_header(path: str) -> tuple[int, int, bool]:
-    """(vertices, entries, weighted); ValueError if the file is cut or no such file."""
+
+def read_header(path: str, magic: bytes = MAGIC) -> tuple[int, int, bool]:
+    """(vertices, entries, weighted); ValueError if the file is cut, its pointers don't end at its entries, or it is no such file."""
     size = os.path.getsize(path)
     with open(path, "rb") as f:
         head = f.read(HEADER_BYTES)
     if len(head) < HEADER_BYTES:
         raise ValueError(f"{path}: cut in its header")
-    magic, n, m, weighted, _ = struct.unpack(HEADER, head)
-    if magic != MAGIC:
+    found, n, m, weighted, _ = struct.unpack(HEADER, head)
+    if found != magic:
         raise ValueError(f"{path}: not a binary graph")
     if size < HEADER_BYTES + 8 * (n + 1) + 8 * m * (2 if weighted else 1):
         raise ValueError(f"{path}: cut")
+    ends = [int(np.fromfile(path, "<i8", 1, offset=HEADER_BYTES + 8 * i)[0]) for i in (0, n)]
+    if ends != [0, m]:
+        raise ValueError(f"{path}: row pointers from {ends[0]} to {ends[1]} for {m} entries")
     return n, m, bool(weighted)
 
 
-def read_binary(spark: SparkSession, path: str, rows: int = 1 << 16) -> DataFrame:
-    n, m, weighted = read_header(path)
-    indices = HEADER_BYTES + 8 * (n + 1)
+def _ranges(spark: SparkSession, path: str, n: int, pointers_at: int, indices_at: int, weights_at: int | None, rows: int) -> DataFrame:
+    """The entries of rows in ranges, each read from its places in the file."""
 
     def read(batches):
         for b in batches:
             for lo in b.column(0).to_pylist():
                 hi = min(lo + rows, n)
-                ptr = np.fromfile(path, "<i8", hi - lo + 1, offset=HEADER_BYTES + 8 * lo)
+                ptr = np.fromfile(path, "<i8", hi - lo + 1, offset=pointers_at + 8 * lo)
+                if len(ptr) < hi - lo + 1 or (np.diff(ptr) < 0).any():
+                    raise ValueError(f"{path}: row pointers {lo} to {hi} are cut or fall")
                 a, k = int(ptr[0]), int(ptr[-1] - ptr[0])
-                dst = np.fromfile(path, "<i8", k, offset=indices + 8 * a)
-                w = np.fromfile(path, "<f8", k, offset=indices + 8 * m + 8 * a) if weighted else np.ones(k)
+                dst = np.fromfile(path, "<i8", k, offset=indices_at + 8 * a)
+                w = np.ones(k) if weights_at is None else np.fromfile(path, "<f8", k, offset=weights_at + 8 * a)
+                if len(dst) < k or len(w) < k:
+                    raise ValueError(f"{path}: entries of rows {lo} to {hi} are cut")
                 yield pa.RecordBatch.from_pydict({"src": np.repeat(np.arange(lo, hi), np.diff(ptr)), "dst": dst, "w": w})
 
     return spark.range(0, n, rows, numPartitions=max(1, -(-n // rows))).mapInArrow(read, EDGES)
 
 
-def _arrays(edges: DataFrame, vertices_n: int):
-    t = edges.select("src", "dst", "w").orderBy("src", "dst").toArrow()
-    src = t["src"].to_numpy()
-    return np.concatenate([[0], np.cumsum(np.bincount(src, minlength=vertices_n))]).astype(np.int64), t["dst"].to_numpy(), t["w"].to_numpy()
-
-
-def write_npz(edges: DataFrame, vertices_n: int, path: str) -> None:
-    indptr, indices, data = _arrays(edges, vertices_n)
-    np.savez(path, indptr=indptr, indices=indices, data=data, shape=np.array([vertices_n, vertices_n]))
-
-
-def read_npz(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+def read_binary(spark: SparkSession, path: str, rows: int = 1 << 16, magic: bytes = MAGIC) -> DataFrame:
+    n, m, weighted = read_header(path, magic)
+    indices = HEADER_BYTES + 8 * (n + 1)
+    return _ranges(spark, path, n, HEADER_BYTES, indices, indices + 8 * m if weighted else None, rows)
+
+
+def write_npz(edges: DataFrame, vertices_n: int, path: str, weighted: bool = True) -> None:
+    spark = edges.sparkSession
+    entries, m = _checked(edges, vertices_n)
+
+    def member(z, name, kind, shape, blocks):
+        with z.open(f"{name}.npy", "w", force_zip64=True) as f:
+            np.lib.format.write_array_header_1_0(f, {"descr": kind, "fortran_order": False, "shape": shape})
+            for block in blocks:
+                f.write(block)
+
+    weights = _raw("<f8") if weighted else (lambda x: np.ones(len(x)).tobytes())
+    with _written(spark, path) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+        member(z, "indptr", "<i8", (vertices_n + 1,), _blocks(row_pointers(edges, vertices_n).orderBy("vertex"), "indptr", _raw("<i8")))
+        member(z, "indices", "<i8", (m,), _blocks(entries, "dst", _raw("<i8")))
+        member(z, "data", "<f8", (m,), _blocks(entries, "w", weights))
+        member(z, "shape", "<i8", (2,), [np.array([vertices_n, vertices_n], "<i8").tobytes()])
+
+
+def _stored(path: str, kinds: dict[str, str]) -> dict[str, tuple[int, tuple]] | None:
+    """Where the arrays of an uncompressed npz begin and their shapes; None if they can't be read in place."""
+    out = {}
+    with zipfile.ZipFile(path) as z, open(path, "rb") as f:
+        for info in z.infolist():
+            name = info.filename.removesuffix(".npy")
+            if info.compress_type != zipfile.ZIP_STORED:
+                return None
+            f.seek(info.header_offset + 26)
+            a, b = struct.unpack("<HH", f.read(4))
+            f.seek(a + b, os.SEEK_CUR)
+            if np.lib.format.read_magic(f) != (1, 0):
+                return None
+            shape, _, kind = np.lib.format.read_array_header_1_0(f)
+            if name in kinds and kind != np.dtype(kinds[name]):
+                return None
+            out[name] = (f.tell(), shape)
+    return out
+
+
+def read_npz(spark: SparkSession, path: str, rows: int = 1 << 16) -> tuple[DataFrame, int]:
     """(edges, vertices); entries without weights weigh 1."""
     try:
+        places = _stored(path, {"indptr": "<i8", "indices": "<i8", "data": "<f8"})
         with np.load(path) as z:
-            got = {k: z[k] for k in z.files}
-    except OSError as e:
+            names = set(z.files)
+            shape = z["shape"] if "shape" in names else None
+            if not {"indptr", "indices"} <= names:
+                raise ValueError(f"{path}: indptr or indices missing")
+            if places is None:
+                got = {k: z[k] for k in names}
+    except (OSError, zipfile.BadZipFile) as e:
         raise OSError(f"cannot open {path}") from e
-    if "indptr" not in got or "indices" not in got:
-        raise ValueError(f"{path}: indptr or indices missing")
-    n = int(got["shape"][0]) if "shape" in got else len(got["indptr"]) - 1
-    return _frame(spark, got["indptr"], got["indices"], got.get("data")), n
+    if places is None:
+        n = int(shape[0]) if shape is not None else len(got["indptr"]) - 1
+        return _frame(spark, got["indptr"], got["indices"], got.get("data")), n
+    n = int(shape[0]) if shape is not None else places["indptr"][1][0] - 1
+    return _ranges(spark, path, places["indptr"][1][0] - 1, places["indptr"][0], places["indices"][0], places["data"][0] if "data" in places else None, rows), n
 
 
 def _frame(spark, indptr, indices, data) -> DataFrame:
@@ -122,11 +213,20 @@ def _frame(spark, indptr, indices, data) -> DataFrame:
 
 
 def write_csr_text(edges: DataFrame, vertices_n: int, path: str, weighted: bool = True) -> None:
-    indptr, indices, data = _arrays(edges, vertices_n)
-    with open(path, "w") as f:
-        f.write(f"{vertices_n} {len(indices)}\n{' '.join(map(str, indptr))}\n{' '.join(map(str, indices))}\n")
-        if weighted:
-            f.write(" ".join(f"{x:.6f}" for x in data) + "\n")
+    spark = edges.sparkSession
+    entries, m = _checked(edges, vertices_n)
+    whole = lambda x: " ".join(map(str, x.tolist())).encode()
+    lines = [(row_pointers(edges, vertices_n).orderBy("vertex"), "indptr", whole), (entries, "dst", whole)]
+    if weighted:
+        lines.append((entries, "w", lambda x: " ".join(f"{v:.6f}" for v in x).encode()))
+    with _written(spark, path) as out:
+        out.write(f"{vertices_n} {m}\n".encode())
+        for frame, column, to_bytes in lines:
+            gap = b""
+            for block in _blocks(frame, column, to_bytes):
+                out.write(gap + block if block else b"")
+                gap = b" " if block or gap else b""
+            out.write(b"\n")
 
 
 def read_csr_text(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
@@ -146,14 +246,65 @@ def edge_lines(edges: DataFrame, weighted: bool = True) -> DataFrame:
 
 
 def write_edge_list(edges: DataFrame, path: str, weighted: bool = True) -> None:
-    edge_lines(edges.orderBy("src", "dst"), weighted).write.mode("overwrite").text(path)
+    edge_lines(edges.orderBy("src", "dst", "w"), weighted).write.mode("overwrite").text(path)
 
 
 def read_edge_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EDGES).option("sep", "\t").csv(path).withColumn("w", F.coalesce("w", F.lit(1.0)))
 
 
+def positions(edges: DataFrame, pointers: DataFrame) -> DataFrame:
+    """(pos, src, dst, w): where each entry stands in the arrays ordered by row and target."""
+    slot = F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1
+    placed = edges.join(pointers.selectExpr("vertex src", "indptr"), "src")
+    return placed.select((F.col("indptr") + slot).alias("pos"), "src", "dst", "w")
+
+
+def scratch_file(spark: SparkSession, form: str) -> str:
+    """A new path in the folder that driver and executors share."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="edgeloom-")
+    folder = folder.removeprefix("file://").rstrip("/")
+    if "://" not in folder:
+        os.makedirs(folder, exist_ok=True)
+    return f"{folder}/graph-{uuid.uuid4().hex}.{form}"
+
+
+def save(edges: DataFrame, vertices_n: int, path: str, form: str = "bin", weighted: bool = True, magic: bytes = MAGIC) -> str:
+    """Write in the form that the path's ending asks for, else in ``form``; returns the form."""
+    if form == "npz" or path.endswith(".npz"):
+        write_npz(edges, vertices_n, path, weighted)
+        return "npz"
+    if form == "edgelist" or ".edgelist" in path:
+        write_edge_list(edges, path, weighted)
+        return "edgelist"
+    if form == "csr" or path.endswith(".csr"):
+        write_csr_text(edges, vertices_n, path, weighted)
+        return "csr"
+    write_binary(edges, vertices_n, path, weighted, magic)
+    return "bin"
+
+
+def load(spark: SparkSession, path: str, form: str | None = None, magic: bytes = MAGIC) -> tuple[DataFrame, int]:
+    """(edges, vertices) of a file in any of the forms."""
+    if form == "npz" or path.endswith(".npz"):
+        return read_npz(spark, path)
+    if form == "csr" or path.endswith(".csr"):
+        return read_csr_text(spark, path)
+    if form == "edgelist" or ".edgelist" in path:
+        edges = read_edge_list(spark, path)
+        return edges, edges.agg(F.coalesce(F.max(F.greatest("src", "dst")) + 1, F.lit(0))).first()[0]
+    return read_binary(spark, path, magic=magic), read_header(path, magic)[0]
+
+
+def adjacency(edges: DataFrame) -> DataFrame:
+    """(src, dsts, ws): the entries of each row, in the order of their targets."""
+    return edges.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("dst", "w"))).alias("e")).selectExpr("src", "e.dst dsts", "e.w ws")
+
+
 def expand(adjacency: DataFrame) -> DataFrame:
     """(src, dst, w) from (src, dsts, ws), one row for each vertex."""
     return adjacency.select("src", F.explode(F.arrays_zip("dsts", "ws")).alias("e")).selectExpr("src", "e.dsts dst", "e.ws w")
-
