@@ -7,7 +7,8 @@ Conventions that hold for every operator of this subpackage:
 * A null text counts as an empty one unless an operator says otherwise.
 * A null ``doc_id`` is the id of one document that sorts before all others; it comes back as null.
 * A ``doc_id`` on several rows is one document with the greatest of its texts; it comes back once.
-* Scratch tables go to ``spark.checkpoint.dir``; a folder is made up only where that is unset.
+* Scratch tables go to ``spark.checkpoint.dir`` and are deleted after their last reader; a folder is made up only in a local
+  session where that is unset.
 """
 
 from __future__ import annotations
@@ -30,12 +31,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's shared one."""
+    """A new folder below the cluster's shared one; a local session without that setting gets a folder of its own."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        top = "file://" + tempfile.mkdtemp(prefix="edgeloom-")
-        spark.conf.set("spark.checkpoint.dir", top)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not _OWN:
+            _OWN.append("file://" + tempfile.mkdtemp(prefix="edgeloom-"))
+        top = _OWN[0]
     return f"{top.rstrip('/')}/edgeloom/{name}-{uuid.uuid4().hex}"
 
 
@@ -44,7 +51,17 @@ def through_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.scratch_path = path
+    return made
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of through_table() that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

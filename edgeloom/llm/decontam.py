@@ -4,26 +4,32 @@ The automaton holds every word sequence that stands in an item. Words of a docum
 length of the longest item sequence ending at each word is tracked: a length of ``window`` or more ends an occurrence
 of a window. Items shorter than a window count only as a whole.
 
+The automaton is broadcast, so it takes at most PART_BYTES of item texts: a larger benchmark is dealt into parts by a hash
+of the item, the documents are scanned once for each, and the spans and items of the parts are put together. The result is
+the same.
+
 A document of which a 1/share or more is hit is contaminated as a whole; from the others, hit spans of ``longest`` words
 or more are removed.
 
-Null or empty texts have no words; items without words are ignored; an empty benchmark hits nothing; an item_id on
-several rows is one item that has the windows of each row.
+Texts and items of any length are taken whole. Null or empty texts have no words; items without words are ignored; an empty benchmark hits nothing; an item_id on
+several rows is one item that has the windows of each row. Repeated rows of one doc_id are one document in scan() and
+digest(); clean() keeps rows as they come, judged alike. An empty table of documents gives an empty table.
 """
 
 from __future__ import annotations
 
-import hashlib
+import functools
 import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import common as c
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 ASCII_LOWER = {i: i + 32 for i in range(65, 91)}
-MAX_BENCHMARK_BYTES = 256 << 20
+PART_BYTES = 2 << 20
 LONGEST = 13
 SCHEMA = "doc_id long, n_words long, n_hit long, item_ids array<string>, spans array<array<int>>, contaminated boolean"
 
@@ -116,16 +122,27 @@ class Automaton:
 
 def automaton(benchmark: DataFrame, window: int = 13) -> Automaton:
     b = benchmark.selectExpr("cast(item_id as string) item_id", "text")
-    size = b.selectExpr("sum(octet_length(text)) n").first()["n"] or 0
-    if size > MAX_BENCHMARK_BYTES:
-        raise ValueError(f"benchmark texts of {size} bytes exceed MAX_BENCHMARK_BYTES; scan them in several parts")
     return Automaton([(r["item_id"], words(r["text"])) for r in b.orderBy("item_id", "text").collect()], window)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
     """Per document: words, hit words, items, hit spans; contaminated if a 1/share of its words or more is hit."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(automaton(benchmark, window))
+    size = benchmark.selectExpr("sum(octet_length(text)) n").first()["n"] or 0
+    parts = -(-size // PART_BYTES) or 1
+    d = c.documents(docs)
+    if parts == 1:
+        return _scan(d, benchmark, window, share)
+    mine = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
+    found = [_scan(d, benchmark.where(mine == i), window, share) for i in range(parts)]
+    last = "element_at(x, -1)"
+    merged = f"aggregate(array_sort(flatten(collect_list(spans))), cast(array() as array<array<int>>), (x, y) -> if(size(x) > 0 and y[0] <= {last}[1], concat(slice(x, 1, size(x) - 1), array(array({last}[0], greatest({last}[1], y[1])))), concat(x, array(y))))"
+    both = functools.reduce(DataFrame.unionByName, found).groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.expr("array_sort(array_distinct(flatten(collect_list(item_ids))))").alias("item_ids"), F.expr(merged).alias("spans"))
+    hit = both.withColumn("n_hit", F.expr("aggregate(spans, 0L, (n, x) -> n + x[1] - x[0])"))
+    return hit.select("doc_id", "n_words", "n_hit", "item_ids", "spans", F.expr(f"n_hit > 0 and {share} * n_hit >= n_words").alias("contaminated"))
+
+
+def _scan(d: DataFrame, benchmark: DataFrame, window: int, share: int) -> DataFrame:
+    shared = d.sparkSession.sparkContext.broadcast(automaton(benchmark, window))
 
     def rows(batches):
         a = shared.value
@@ -141,7 +158,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 2
                 names=["doc_id", "n_words", "n_hit", "item_ids", "spans", "contaminated"],
             )
 
-    return c.own_id(c.documents(docs).mapInArrow(rows, SCHEMA))
+    return c.own_id(d.mapInArrow(rows, SCHEMA))
 
 
 def digest(scanned: DataFrame) -> DataFrame:

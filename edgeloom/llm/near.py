@@ -243,20 +243,22 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(doc, comp) for every document with a link: the smallest id that links reach."""
     both = c.through_table(links.unionByName(links.selectExpr("b a", "a b")).distinct(), "links")
-    label = c.through_table(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("doc"), F.least("a", "m").alias("comp")), "labels")
+    table = c.through_table(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("doc"), F.least("a", "m").alias("comp")), "labels")
+    label = table
     while True:
         near = both.join(label.selectExpr("doc b", "comp"), "b").groupBy("a").agg(F.min("comp").alias("m"))
         low = label.join(near, label["doc"] == near["a"]).select("doc", F.least("comp", "m").alias("low"), "comp")
         far = label.selectExpr("doc low", "comp far")
         new = c.through_table(low.join(far, "low", "left").select("doc", F.least("low", F.coalesce("far", "low")).alias("new"), "comp"), "labels")
-        changed = new.where("new <> comp").limit(1).count()
-        label = new.selectExpr("doc", "new comp")
-        if not changed:
+        c.drop(table)
+        table, label = new, new.selectExpr("doc", "new comp")
+        if not new.where("new <> comp").limit(1).count():
+            c.drop(both)
             return label
 
 
-def opened(lists: DataFrame, label: DataFrame) -> DataFrame:
-    """(value, doc, n, comp, size, top, long): the lists that hold documents of several components.
+def opened(lists: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(value, doc, n, comp, size, top, long): the lists that hold documents of several components; and its scratch table.
 
     top is the component that most documents of the list are of; long is how many lists of more than PAIRED documents the
     document stands in.
@@ -264,7 +266,8 @@ def opened(lists: DataFrame, label: DataFrame) -> DataFrame:
     now = lists.join(label, "doc", "left").select("value", "doc", "n", F.coalesce("comp", "doc").alias("comp"))
     by_value = now.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.mode("comp").alias("top"))
     left = c.through_table(now.join(by_value.where("lo < hi").drop("lo", "hi"), "value"), "open")
-    return left.join(left.groupBy("doc").agg(F.sum((F.col("size") > PAIRED).cast("long")).alias("long")), "doc")
+    out = left.join(left.groupBy("doc").agg(F.sum((F.col("size") > PAIRED).cast("long")).alias("long")), "doc")
+    return out, left
 
 
 def links_of(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -275,7 +278,7 @@ def links_of(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     links = c.through_table(verify(stars, sets, percent), "confirmed")
     label = components(links)
 
-    left = opened(lists, label)
+    left, table = opened(lists, label)
     hidden = lambda n: f"({n} - least({n}, {n} - cast(ceil({percent}L * {n} / 100) as long) + 1 + {n} div {SPREAD}))"
 
     def enough(count: str, n: str, pn: str) -> str:
@@ -298,7 +301,9 @@ def links_of(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     long_ = left.where(F.col("size") > PAIRED).where(F.col("long") >= least).withColumn("nth", nth).where(F.col("nth") <= F.col("long") - least + 1)
     far = pairs(long_).where(enough("least(long, pl)", "n", "pn")).select(F.least("doc", "pd").alias("a"), F.greatest("doc", "pd").alias("b"))
     found = c.through_table(verify(near.unionByName(far).distinct(), sets, percent), "confirmed")
-    return components(links.unionByName(found)) if found.limit(1).count() else label
+    out = components(links.unionByName(found)) if found.limit(1).count() else label
+    c.drop(table, links, found)
+    return out
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
@@ -320,9 +325,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
     # Written, so that no task runs two Python workers at once.
     sketched = c.through_table(sketches(d, shared, words, percent).join(copies.select("doc_id"), "doc_id", "left_anti"), "sketches")
     lists = c.through_table(shared_values(sketched, bins, lambda n: np.maximum(1, n // SPREAD)), "lists")
+    c.drop(sketched)
     sets = c.through_table(full_sets(d, lists.select("doc").distinct(), words), "sets")
     alive = c.through_table(shared_values(sets, bins, lambda n: -(-percent * n // 100), "doc long"), "alive")
     label = links_of(lists.join(alive, "doc", "left_semi"), sets, percent)
+    c.drop(lists, sets, alive)
 
     rep = every.join(copies, "doc_id", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("doc"))
     out = rep.join(label, "doc", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc").alias("component_id"))
