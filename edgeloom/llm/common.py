@@ -91,6 +91,16 @@ def documents(docs: DataFrame) -> DataFrame:
     return d.groupBy("doc_id").agg(F.max("text").alias("text")) if repeated else d
 
 
+def one_row(docs: DataFrame) -> DataFrame:
+    """All columns, one row for each id (that of the greatest text, then of the greatest other columns) and no null id."""
+    bounded_batches(docs.sparkSession)
+    d = docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    if not d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        return d
+    rest = [x for x in d.columns if x not in ("doc_id", "text")]
+    return d.groupBy("doc_id").agg(F.max(F.struct("text", *rest)).alias("x")).select(*(F.col("x")[n].alias(n) if n != "doc_id" else F.col(n) for n in d.columns))
+
+
 def own_id(df: DataFrame, name: str = "doc_id") -> DataFrame:
     """Give the document without an id its null back."""
     return df.withColumn(name, F.when(F.col(name) != NO_ID, F.col(name)))

@@ -224,11 +224,23 @@ def fit(docs: DataFrame) -> tuple[list[str], dict] | None:
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score for each document."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs))
+    made = c.own_id(predicted(c.documents(docs), fit(docs)))
+    return made.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def label(docs: DataFrame) -> DataFrame:
+    """The documents with all their columns, one row for each doc_id, and lang_pred and score."""
+    return c.own_id(predicted(c.one_row(docs), fit(docs)))
+
+
+def predicted(docs: DataFrame, fitted) -> DataFrame:
+    """The columns (of doc_id and text alone: doc_id) with lang_pred and score."""
+    model = docs.sparkSession.sparkContext.broadcast(fitted)
+    names = docs.columns if len(docs.columns) > 2 else ["doc_id"]
+    schema = docs.select(names).schema.add("lang_pred", "string").add("score", "double")
 
     def rows(batches):
         for batch in batches:
-            ids = c.column(batch, "doc_id")
             texts = c.column(batch, "text").to_pylist()
             for lo, hi in c.slices(np.cumsum([0, *(len(x or "") for x in texts)]), 1 << 20):
                 part = texts[lo:hi]
@@ -239,7 +251,7 @@ def identify(docs: DataFrame) -> DataFrame:
                     best = prob.argmax(1)
                     score = np.where(known, np.clip(prob.max(1), 0, 1), 0.0)
                     pred = [model.value[0][b] if k else UNDETERMINED for b, k in zip(best, known)]
-                yield pa.RecordBatch.from_arrays([ids[lo:hi], pa.array(pred), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(c.column(batch, n)[lo:hi] for n in names), pa.array(pred), pa.array(score)], names=[*names, "lang_pred", "score"])
+        c.tidy()
 
-    made = c.own_id(c.documents(docs).mapInArrow(rows, "doc_id long, lang_pred string, score double"))
-    return made.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return docs.mapInArrow(rows, schema)

@@ -66,37 +66,60 @@ def at_home(docs: DataFrame, doc_bins: int) -> DataFrame:
     return docs.withColumn("bin", c.spread(F.col("doc_id"), doc_bins))
 
 
+def of_documents(marked: pa.Table):
+    """From an id to its marks (starts, counts), or None."""
+    parts = list(zip(*(c.unpack(b) for b in marked["block"].to_pylist())))
+    if not parts:
+        return lambda key: None
+    doc, at, count = map(np.concatenate, parts)
+    order = np.argsort(doc, kind="stable")
+    doc, at, count = doc[order], at[order].astype(np.int64), count[order].astype(np.int64)
+
+    def of(key):
+        lo, hi = np.searchsorted(doc, key, "left"), np.searchsorted(doc, key, "right")
+        return (at[lo:hi], count[lo:hi]) if hi > lo else None
+
+    return of
+
+
+def covered(n: int, at: np.ndarray, count: np.ndarray, window: int) -> np.ndarray:
+    """Which of n units lie in a marked window."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, np.minimum(at + count + window - 1, n), -1)
+    return np.cumsum(edge[:n]) > 0
+
+
+def kept_words(text: bytes, at: np.ndarray, count: np.ndarray, window: int) -> tuple[bytes, np.ndarray]:
+    """The words outside marked windows, joined by spaces, and which words were inside."""
+    raw = np.frombuffer(text, np.uint8)
+    s, e, _ = t.split(raw, np.array([0, len(raw)]), t.SPACE)
+    gone = covered(len(s), at, count, window)
+    return b" ".join([text[a:b] for a, b in zip(s[~gone].tolist(), e[~gone].tolist())]), gone
+
+
 def rewrite(docs: DataFrame, marked: DataFrame, doc_bins: int, window: int, of_words: bool) -> DataFrame:
     """Remove all units (words or bytes) covered by marked windows.
 
     Columns: doc_id, n_units, n_removed, n_spans, kept (binary) and kept_sha256.
     """
+    nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def bin_rows(left: pa.Table, right: pa.Table) -> pa.Table:
-        doc, at, count = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (list(zip(*(c.unpack(b) for b in right["block"].to_pylist()))) or [[], [], []]))
-        order = np.argsort(doc, kind="stable")
-        doc, at, count = doc[order], at[order].astype(np.int64), count[order].astype(np.int64)
-        out = []
+        marks_of, out = of_documents(right), []
         for key, text in zip(left["doc_id"].to_pylist(), left["text"].cast(pa.large_binary()).to_pylist()):
-            raw = np.frombuffer(text or b"", np.uint8)
-            if of_words:
-                s, e, _ = t.split(raw, np.array([0, len(raw)]), t.SPACE)
-                n = len(s)
-            else:
-                n = len(raw)
-            lo, hi = np.searchsorted(doc, key, "left"), np.searchsorted(doc, key, "right")
-            edge = np.zeros(n + 1, np.int64)
-            np.add.at(edge, at[lo:hi], 1)
-            np.add.at(edge, np.minimum(at[lo:hi] + count[lo:hi] + window - 1, n), -1)
-            gone = np.cumsum(edge[:n]) > 0
+            text = text or b""
+            found = marks_of(key) or nothing
             if of_words:
-                kept = b" ".join([text[a:b] for a, b in zip(s[~gone].tolist(), e[~gone].tolist())])
+                kept, gone = kept_words(text, *found, window)
             else:
-                kept = raw[~gone].tobytes()
-            spans = int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if n else 0
-            out.append((key, n, int(gone.sum()), spans, kept, hashlib.sha256(kept).hexdigest()))
+                gone = covered(len(text), *found, window)
+                kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if len(found[0]) else text
+            spans = int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(gone) else 0
+            out.append((key, len(gone), int(gone.sum()), spans, kept, hashlib.sha256(kept).hexdigest()))
         cols = zip(*out) if out else [[]] * 6
         types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
+        c.tidy()
         return pa.Table.from_arrays([pa.array(x, y) for x, y in zip(cols, types)], names=["doc_id", "n_units", "n_removed", "n_spans", "kept", "kept_sha256"])
 
     left = at_home(docs, doc_bins).groupBy("bin")

@@ -1,14 +1,16 @@
-"""Substring dedup over words by windows dealt out by prefixes; they stand in for prefix-partitioned suffix trees.
-
-Only suffixes of ``window`` words or more matter, cut there. They are dealt out by variable-length prefixes: a prefix
-of 1 word if few suffixes begin with it, else of 2, 4, 8 or all ``window`` words, so that a group fits into memory
-(all counted over the whole corpus first). In a group the 64-bit fingerprints of the first ``window`` words are sorted:
-of suffixes with equal ones, every one but the earliest starts a repeat. No tree is built: there are no internal nodes,
-common-prefix lengths or maximal repeats, and the prefix only chooses the task; see README. Each task first settles the
-repeats among its own suffixes, so that a passage in a third of all rows sends one suffix from each slice.
-
-Null and empty texts have no words. Texts with fewer words than a window keep all. Repeated rows of one doc_id are one
-document (see common). An empty table gives an empty table.
+"""Substring dedup over words: every word covered by a ``window``-word window that also starts earlier goes.
+
+Suffixes are split into memory-sized groups by prefixes: a suffix of words takes part only from a place whose first words
+(its prefix, ``gram`` of them) are the smallest gram of a window, with the words before it that belong to the same windows;
+suffixes whose prefix stands nowhere else go (see ``anchors``), and where prefixes are common a longer one, of two thirds of
+a window and more, decides whether a suffix stays. Each group is a subtree: the suffixes of its stretches, sorted word by
+word, are the leaves, the number of words that neighbours have in common gives the internal nodes (see ``subtree``), and the
+nodes at a depth of ``window`` words or more are the repeats; adjacent ones make up the maximal ones. Words are compared
+themselves, by their numbers in a dictionary of the group; hashes only choose groups.
+
+Null and empty texts have no words. Texts with fewer words than a window keep all, texts of any length are taken whole. Of
+equal windows the first by (doc_id, place) stays. Repeated rows of one doc_id are one document. An empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -16,88 +18,104 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from . import anchors
 from . import common as c
 from . import repeats as r
 from . import tokens as t
-
-SLICE = 8 << 20
-BUCKETS = 1 << 14
-
-
-def prefix_lengths(window: int) -> list[int]:
-    return [n for n in (1, 2, 4, 8) if n < window] + [window]
-
-
-def windows(data, offs, window):
-    """Row, word index and word hashes of all places with a whole window."""
-    s, e, first = t.split(data, offs, t.SPACE)
-    h = t.word_hashes(data, s, e)
-    row = np.repeat(np.arange(len(offs) - 1), np.diff(first))
-    at = np.arange(len(h))
-    whole = at + window <= first[row + 1]
-    return row[whole], (at - first[row])[whole], at[whole], h
-
-
-def buckets(h, at, n):
-    return (t.mix(t.grams(h, n))[at] % t.U(BUCKETS)).astype(np.int64)
-
-
-def marked(docs: DataFrame, window: int, doc_bins: int) -> DataFrame:
-    spark = docs.sparkSession
-    levels = prefix_lengths(window)
-
-    def count(batches):
-        total = np.zeros((len(levels), BUCKETS), np.int64)
-        for _, _, _, data, offs in c.text_slices(batches, SLICE):
-            _, _, at, h = windows(data, offs, window)
-            for i, n in enumerate(levels):
-                total[i] += np.bincount(buckets(h, at, n), minlength=BUCKETS)
-        for i in range(len(levels)):
-            b = np.flatnonzero(total[i])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), i, np.int32)), pa.array(b.astype(np.int32)), pa.array(total[i][b])], names=["level", "bucket", "n"])
-
-    counted = docs.mapInArrow(count, "level int, bucket int, n long").groupBy("level", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    sizes = np.zeros((len(levels), BUCKETS), np.int64)
-    sizes[counted["level"], counted["bucket"]] = counted["n"]
-    groups = max(c.partitions(spark), int(sizes[0].sum() >> 20))
-    limit = max(1, int(sizes[0].sum() // (4 * groups)))
-    small = spark.sparkContext.broadcast(sizes <= limit)
-
-    def deal(batches):
-        fits = small.value
-        for batch, lo, hi, data, offs in c.text_slices(batches, SLICE):
-            row, word, at, h = windows(data, offs, window)
-            if not len(at):
-                continue
-            doc = c.longs(batch, "doc_id")[lo:hi][row]
-            leaf = t.mix(t.grams(h, window))[at]
-            seen = r.later(leaf, doc, word)
-            yield r.marks(doc[seen], word[seen], np.ones(int(seen.sum()), np.int64), doc_bins)
-            doc, word, at, leaf = doc[~seen], word[~seen], at[~seen], leaf[~seen]
-            group = np.full(len(at), -1, np.int64)
-            for i, n in enumerate(levels):
-                b = buckets(h, at, n)
-                open_ = (group < 0) & (fits[i][b] if i + 1 < len(levels) else True)
-                group[open_] = i * BUCKETS + b[open_]
-            yield r.rows_by_bin(0, (t.mix(group.astype(np.uint64) + t.U(1)) % t.U(groups)).astype(np.int32), leaf, doc, word.astype(np.int32))
-
-
-    def subtrees(table: pa.Table) -> pa.Table:
-        table, blocks = r.settled(table)
-        if not blocks:
-            return table
-        leaf, doc, word = (np.concatenate(x) for x in zip(*map(c.unpack, blocks)))
-        seen = r.later(leaf, doc, word)
-        found = r.marks(doc[seen], word[seen], np.ones(int(seen.sum()), np.int64), doc_bins)
-        return pa.concat_tables([table, pa.Table.from_batches([found])])
-
-    return docs.mapInArrow(deal, r.BLOCK_DDL).groupBy(r.key(groups)).applyInArrow(subtrees, r.BLOCK_DDL)
-
-
-def dedup(docs: DataFrame, window: int = 20) -> DataFrame:
+from .units import spread_out
+
+
+class Words:
+    """Texts by their words; see anchors.marked. Units are numbers of a dictionary of these texts."""
+
+    def __init__(self, data, offs):
+        self.data = data
+        self.start, self.end, self.offs = t.split(data, offs, t.SPACE)
+        ends = np.concatenate([[0], np.cumsum(self.end - self.start)])
+        letters = data[~t.SPACE[data]]
+        words = pa.Array.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(ends), pa.py_buffer(letters)]).dictionary_encode()
+        self.units = words.indices.to_numpy().astype(np.int32)
+        raw, at = c.utf8(words.dictionary)
+        self.hashes = t.word_hashes(raw, at[:-1], at[1:])[self.units]
+
+    @staticmethod
+    def seed(units):
+        return (units >> t.U(32)).astype(np.uint32)
+
+    def ship(self, at, size):
+        first = self.start[at]
+        length = self.end[at + size - 1] - first
+        # A space behind each, so that words of neighbours stay apart.
+        out = np.full(int(length.sum()) + len(at), 32, np.uint8)
+        begin = np.cumsum(length + 1) - length - 1
+        out[spread_out(begin, length)] = self.data[spread_out(first, length)]
+        return out, length + 1
+
+    @staticmethod
+    def groups(units, at, size, window):
+        string, offset, depth = subtree(units, at, size, window)
+        again = np.zeros(len(depth) + 1, bool)
+        again[:-1] = depth >= window
+        alike = np.flatnonzero(again[:-1] | again[1:])
+        return string[alike], offset[alike], np.cumsum(depth < window)[alike]
+
+
+def subtree(units, at, size, window):
+    """Leaves and inner nodes of the suffixes units[at[i] + k:] of ``window`` units or more, cut there.
+
+    Returns, in the order of the leaves: stretch, offset k, and the depth of the lowest node above a leaf and the one before
+    it (0 for the first).
+    """
+    count = size - window + 1
+    string = np.repeat(np.arange(len(at)), count)
+    offset = spread_out(np.zeros(len(at), np.int64), count)
+    begin = at[string] + offset
+    # Sorted by the last units first, each pass keeping the order of the passes before.
+    order = np.arange(len(begin))
+    for i in range(window - 1, -1, -1):
+        order = order[np.argsort(units[begin[order] + i], kind="stable")]
+    depth = np.zeros(len(begin), np.int64)
+    x, y = begin[order[1:]], begin[order[:-1]]
+    open_ = np.arange(len(x))
+    for i in range(window):
+        open_ = open_[units[x[open_] + i] == units[y[open_] + i]]
+        depth[1 + open_] += 1
+    return string[order], offset[order], depth
+
+
+def marked(docs: DataFrame, window: int, gram: int, bins: int) -> DataFrame:
+    return anchors.marked(r.at_home(docs, bins), window, gram, bins, Words)
+
+
+def dedup(docs: DataFrame, window: int = 20, gram: int = 5) -> DataFrame:
     """doc_id, n_units (words), n_removed, n_spans, kept and kept_sha256; see repeats.rewrite."""
     d = c.documents(docs)
-    bins = max(c.partitions(docs.sparkSession), r.size_of(d) // r.BIN_BYTES)
-    return r.rewrite(d, marked(d, window, bins), bins, window, True)
+    bins = bins_of(d)
+    return r.rewrite(d, marked(d, window, gram, bins), bins, window, True)
+
+
+def bins_of(d: DataFrame) -> int:
+    return max(c.partitions(d.sparkSession), r.size_of(d) // r.BIN_BYTES)
+
+
+def clean(docs: DataFrame, window: int = 20, gram: int = 5) -> DataFrame:
+    """The documents with all their columns; ``text`` without the repeats. Texts that lose all their words go."""
+    d = c.one_row(docs)
+    bins = bins_of(d)
+    marks = marked(d.select("doc_id", "text"), window, gram, bins)
+    names, schema = d.columns, d.schema
+
+    def rows(left: pa.Table, right: pa.Table) -> pa.Table:
+        gone = r.of_documents(right)
+        text = left["text"].to_pylist()
+        for i, key in enumerate(left["doc_id"].to_pylist()):
+            found = gone(key)
+            if found is not None:
+                text[i] = r.kept_words(text[i].encode(), *found, window)[0].decode()
+        some = pa.array([x != "" or gone(key) is None for x, key in zip(text, left["doc_id"].to_pylist())], pa.bool_())
+        out = left.set_column(left.schema.get_field_index("text"), "text", pa.array(text, pa.string()))
+        return out.select(names).filter(some)
+
+    made = r.at_home(d, bins).groupBy("bin").cogroup(marks.select("bin", "block").groupBy("bin")).applyInArrow(rows, schema)
+    return c.own_id(made)

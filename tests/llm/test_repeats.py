@@ -3,7 +3,7 @@ import random
 import re
 
 import numpy as np
-from edgeloom.llm import substrings, suffixes
+from edgeloom.llm import anchors, substrings, suffixes
 
 
 def repeated(units, window, seen):
@@ -59,7 +59,7 @@ def test_long_texts_are_cut_between_windows():
 
 
 def test_a_text_of_256_mb(monkeypatch):
-    monkeypatch.setattr(suffixes, "PLACE_BITS", 12)
+    monkeypatch.setattr(anchors, "PLACE_BITS", 12)
     data = np.random.default_rng(2).integers(97, 123, 10000).astype(np.uint8)
     cut = list(suffixes.parts(data, np.array([0, len(data)]), 100, 2000))
     assert sum(int(suffixes.segments(part, offs, 100, 40)[2].sum()) for _, part, offs in cut) == 9901
