@@ -1,4 +1,11 @@
-"""The corpus pipeline: each stage reads the Parquet that the one before it wrote."""
+"""The corpus pipeline: each stage reads the Parquet that the one before it wrote.
+
+Columns are those of documents, any others are left behind; the first stage keeps one row for each doc_id (that of the
+greatest text, then of the greatest other columns). A null doc_id is one document and is kept as such. Null and empty
+texts, and those without a letter, go in the first stage. Texts of any length are taken whole by every stage. Of near or
+exact copies the smallest doc_id stays. A changed text gets a new n_chars, others keep the one they came with. Empty tables
+give empty tables.
+"""
 
 from __future__ import annotations
 
@@ -13,8 +20,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter go; the others keep all columns, lang being the predicted one."""
-    found = langid.identify(docs).selectExpr("doc_id _id", "lang_pred").where(F.col("lang_pred") != langid.UNDETERMINED)
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"])).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+    found = langid.label(docs).where(F.col("lang_pred") != langid.UNDETERMINED)
+    return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,10 +32,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of repeated windows go; texts that lose none stay as they are, texts that lose all their words go."""
-    changed = substrings.dedup(docs).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.expr("decode(kept, 'UTF-8')").alias("_kept"))
-    joined = docs.join(changed, docs["doc_id"].eqNullSafe(changed["_id"]), "left")
-    joined = joined.withColumn("text", F.coalesce("_kept", "text")).where("_kept is null or _kept <> ''")
-    return joined.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
+    kept = substrings.clean(docs.select(*COLUMNS, F.length("text").alias("_was")))
+    changed = F.length("text") < F.col("_was")
+    return kept.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +62,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents").select(*COLUMNS)
+    docs, before = common.table(spark, sf_dir, "documents").select(*COLUMNS), None
     for name, stage in STAGES:
         docs = common.through_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            common.drop(before)
+        before = docs
     return docs
