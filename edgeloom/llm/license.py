@@ -1,14 +1,21 @@
-"""License scans: set-similarity join of text blocks with license templates, in DataFrame functions only.
+"""License scans: an exact set-similarity join of text blocks with license templates, in DataFrame functions only.
 
 Base places: starts of a fixed phrase's words standing consecutively. Beside them, blocks of BLOCK words, one from every
 word on, are joined with the token sets of TEMPLATES: a block matches when it holds CONTAINMENT percent or more of a
-template's tokens. Template tokens are ordered by the number of documents of the whole corpus that hold them, fewest
-first; by the prefix filter a block must hold one of a template's first ``size - need + 1`` tokens, and by the length
-filter template tokens must stand at ``need`` of its places or more; what is left is counted in full. A matching block
-gives the template's label.
+template's tokens. Template tokens are ordered by the number of documents of the whole corpus that hold them, fewest first.
 
-Null and empty texts have no words: zero counts, null places, empty label strings, score 0. Repeated rows of one doc_id
-are one document. An empty table gives an empty table.
+* Prefix filter: a matching block holds one of a template's first ``size - need + 1`` tokens. These make an inverted index
+  (token, template, rank), which documents are joined with by the tokens they hold; it is as large as the templates are and
+  is broadcast. A block is looked at from the rarest template token it holds, so from the index rows of one rank.
+* Positional filter: from a token of rank r at a place, only tokens of later ranks count, so one and the distinct later
+  ones within a block's reach of the place must make ``need``; other places go.
+* Length filter: of the blocks that hold the place, those go whose template words, repeats counted, are fewer than ``need``.
+
+What is left is counted in full, and the largest share is the template's. A matching block gives the template's label.
+
+Null and empty texts have no words: zero counts, null places, empty label strings, score 0. Texts of any length are taken
+whole. Template tokens in equally many documents are ordered by the token; equal shares make one score. Repeated rows of
+one doc_id are one document. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -33,6 +40,9 @@ TEMPLATES = {
     "bsd-text": "redistribution and use in source and binary forms with or without modification are permitted",
     "gpl-text": "this program is free software you can redistribute it and or modify it under the terms",
     "cc-text": "this work is licensed under a creative commons attribution license",
+    "cc-by-nc-notice": "licensed under cc by nc 4 0",
+    "gpl-3-notice": "this work is licensed under the gnu general public license version 3",
+    "mit-notice": "released under the mit license",
 }
 BLOCK, CONTAINMENT = 32, 80
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -67,37 +77,51 @@ def phrase_places(phrase: str) -> str:
     return f"if(array_contains(w, {text(first)}), filter(sequence(0, size(w) - 1), i -> get(w, i) = {text(first)} and {last}), cast(array() as array<int>))"
 
 
-def block_matches(tokens: list[str]) -> str:
-    """The largest share of a template's tokens in any block of at least the threshold, else 0.
+def needed(size: int) -> int:
+    return -(-CONTAINMENT * size // 100)
+
 
-    A block moved on to its first template token loses none, so the blocks that start at one are enough.
-    """
-    size = len(tokens)
-    need = -(-CONTAINMENT * size // 100)
-    prefix = tokens[: size - need + 1]
-    at = f"if(arrays_overlap(w, {strings(prefix)}), filter(sequence(0, size(w) - 1), i -> array_contains({strings(tokens)}, get(w, i))), cast(array() as array<int>))"
-    starts = f"filter(h, (x, j) -> get(h, j + {need - 1}) - x < {BLOCK})"
-    blocks = f"filter(transform({starts}, x -> slice(w, x + 1, {BLOCK})), b -> arrays_overlap(b, {strings(prefix)}))"
-    shares = f"transform({blocks}, b -> size(array_intersect(b, {strings(tokens)})))"
-    best = f"aggregate({shares}, 0, (x, y) -> if(y >= {need}, greatest(x, y), x))"
-    return f"aggregate(transform(array({at}), h -> {best}), 0, (x, y) -> greatest(x, y)) / {float(size)}D"
+def prefix_index(spark, templates: dict[str, list[str]]) -> DataFrame:
+    """(token, template, tokens, rank, need): the first tokens of each template; as many rows as the templates allow."""
+    rows = [
+        f"struct({text(token)} as token, {text(name)} as template, {strings(tokens)} as tokens, {rank} as rank, {needed(len(tokens))} as need)"
+        for name, tokens in templates.items()
+        for rank, token in enumerate(tokens[: len(tokens) - needed(len(tokens)) + 1])
+    ]
+    return spark.range(1).selectExpr(f"inline(array({', '.join(rows)}))")
+
+
+#: The words within a block's reach of place p, and the template's tokens of later ranks.
+REACH = f"slice(w, greatest(p - {BLOCK - 1}, 0) + 1, least(p, {BLOCK - 1}) + {BLOCK})"
+LATER = "slice(tokens, rank + 2, size(tokens))"
+#: Places of the token that the positional filter leaves.
+PLACES = f"filter(sequence(0, size(w) - 1), p -> get(w, p) = token and 1 + size(array_intersect({REACH}, {LATER})) >= need)"
+#: The blocks that hold place p, moved on to their first template token (which loses none), that the length filter leaves.
+BLOCKS = f"filter(transform(filter(sequence(greatest(p - {BLOCK - 1}, 0), p), q -> array_contains(tokens, get(w, q))), q -> slice(w, q + 1, {BLOCK})), b -> size(filter(b, x -> array_contains(tokens, x))) >= need)"
+#: The largest number of the template's tokens in any of these blocks.
+BEST = f"coalesce(array_max(flatten(transform({PLACES}, p -> transform({BLOCKS}, b -> size(array_intersect(b, tokens)))))), 0)"
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score (1 for a base place, else the best containment)."""
     worded = words(c.documents(docs))
-    templates = ordered_templates(worded)
-    x = worded.select("doc_id", "w", F.expr("cast(size(w) as long)").alias("n_words"), *(F.expr(phrase_places(p)).alias(f"p{i}") for i, p in enumerate(PHRASES)))
-    x = x.select("*", *(F.expr(block_matches(v)).alias(f"t{i}") for i, v in enumerate(templates.values()))).drop("w")
+    index = prefix_index(docs.sparkSession, templates := ordered_templates(worded))
+    prefixes = sorted({x for v in templates.values() for x in v[: len(v) - needed(len(v)) + 1]})
+    x = worded.select("doc_id", "w", *(F.expr(phrase_places(p)).alias(f"p{i}") for i, p in enumerate(PHRASES)))
     every = ", ".join(f"p{i}" for i in range(len(PHRASES)))
     base = ", ".join(f"if(size(p{i}) > 0, {text(v)}, null)" for i, v in enumerate(PHRASES.values()))
-    more = ", ".join(f"if(t{i} > 0, {text(k)}, null)" for i, k in enumerate(templates))
-    best = ", ".join(f"t{i}" for i in range(len(templates)))
-    out = x.selectExpr(
-        "doc_id", "n_words", f"cast(size(concat({every})) as long) n_base",
+    x = x.selectExpr(
+        "doc_id", "w", "cast(size(w) as long) n_words", f"cast(size(concat({every})) as long) n_base",
         f"cast(array_min(concat({every})) as long) first_word", f"cast(array_max(concat({every})) as long) last_word",
-        f"concat_ws(',', array_sort(array_distinct(array_compact(array({base}))))) base_labels",
-        f"concat_ws(',', array_sort(array_distinct(array_compact(array({base}, {more}))))) labels",
-        f"if(size(concat({every})) > 0, 1D, cast(greatest({best}) as double)) score",
+        f"array_compact(array({base})) base", f"explode_outer(array_intersect(w, {strings(prefixes)})) token",
+    )
+    found = x.join(F.broadcast(index), "token", "left").withColumn("best", F.expr(f"if(template is null, 0, {BEST})"))
+    own = ("n_words", "n_base", "first_word", "last_word", "base")
+    by_doc = found.selectExpr("doc_id", *own, "if(best >= need, template, null) label", "if(best >= need, best / cast(size(tokens) as double), 0D) share")
+    merged = by_doc.groupBy("doc_id").agg(*(F.first(k).alias(k) for k in own), F.collect_set("label").alias("more"), F.max("share").alias("share"))
+    out = merged.selectExpr(
+        "doc_id", "n_words", "n_base", "first_word", "last_word",
+        "concat_ws(',', array_sort(array_distinct(base))) base_labels", "concat_ws(',', array_sort(array_distinct(concat(base, more)))) labels",
+        "if(n_base > 0, 1D, share) score",
     )
     return c.own_id(out)
