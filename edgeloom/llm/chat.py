@@ -2,9 +2,11 @@
 
 Each turn becomes ``<s>[INST]role[/INST]text</s>``. Control strings inside roles and texts get a backslash after their
 bracket (``<\\s>``), one more if they have some already; removing one brings the text back. Texts of ``assistant`` turns
-are under the loss mask. The pieces of a batch are laid out in one buffer by lengths, offsets and scatter indices.
+are under the loss mask. The pieces of a slice of turns are laid out in one buffer by lengths, offsets and scatter
+indices. The turns of a conversation stream through one task in order, in bounded memory, since its digests are taken in
+that order.
 
-Null roles and texts are empty. Turns are ordered by (turn, role, text), null first; repeated rows are all kept. A null
+Null roles and texts are empty, texts of any length are taken whole; only the four columns named are read. Turns are ordered by (turn, role, text), null first; repeated rows are all kept. A null
 conv_id is one conversation. An empty table gives an empty table.
 """
 
@@ -19,7 +21,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import common as c
+from .units import spread_out
 
+SLICE = 1 << 20
 OPEN, MID, CLOSE = b"<s>[INST]", b"[/INST]", b"</s>"
 CONTROL = r"([<\[])(\\*/?(?:s>|INST\]))"
 ESCAPED = re.compile(r"([<\[])\\(\\*/?(?:s>|INST\]))")
@@ -28,39 +32,40 @@ SCHEMA = "conv_id long, formatted string, mask_start long, mask_end long"
 
 
 def assemble(roles: pa.Array, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Formatted turns, and the byte range of each turn's text in its turn."""
+    """Formatted turns, and the byte range of each turn's text in its turn.
+
+    Lengths of the five segments of a turn and their running sum say where each goes; fixed parts and contents are
+    scattered there, into one buffer that becomes the column.
+    """
     n = len(texts)
-    parts = []
-    for col in (roles, texts):
-        parts.append(c.utf8(pc.replace_substring_regex(pc.fill_null(col, ""), CONTROL, r"\1\\\2")))
-    fixed = np.frombuffer(OPEN + MID + CLOSE, np.uint8)
-    source = np.concatenate([fixed, parts[0][0], parts[1][0]])
-    base = np.cumsum([len(fixed), len(parts[0][0])])
-    lengths = np.empty((n, 5), np.int64)
-    begins = np.empty((n, 5), np.int64)
-    for j, (at, size) in zip((0, 2, 4), ((0, len(OPEN)), (len(OPEN), len(MID)), (len(OPEN) + len(MID), len(CLOSE)))):
-        begins[:, j], lengths[:, j] = at, size
-    for j, k in ((1, 0), (3, 1)):
-        offs = parts[k][1]
-        begins[:, j], lengths[:, j] = offs[:-1] + base[k], np.diff(offs)
-    flat = lengths.reshape(-1)
-    ends = np.cumsum(flat)
-    total = int(ends[-1]) if n else 0
-    buffer = source[np.repeat(begins.reshape(-1) - (ends - flat), flat) + np.arange(total)]
-    row = np.concatenate([[0], ends.reshape(n, 5)[:, 4]]) if n else np.zeros(1, np.int64)
-    start = lengths[:, :3].sum(1)
-    return pa.LargeStringArray.from_buffers(n, pa.py_buffer(row.astype(np.int64).tobytes()), pa.py_buffer(buffer.tobytes())).cast(pa.string()), start, start + lengths[:, 3]
+    contents = [c.utf8(pc.replace_substring_regex(pc.fill_null(col, ""), CONTROL, r"\1\\\2")) for col in (roles, texts)]
+    size = np.empty((n, 5), np.int64)
+    size[:, 0], size[:, 2], size[:, 4] = len(OPEN), len(MID), len(CLOSE)
+    size[:, 1], size[:, 3] = (np.diff(offs) for _, offs in contents)
+    ends = np.cumsum(size.reshape(-1)).reshape(n, 5)
+    begin = ends - size
+    buffer = pa.allocate_buffer(int(ends[-1, -1]) if n else 0)
+    out = np.frombuffer(buffer, np.uint8)
+    for j, fixed in ((0, OPEN), (2, MID), (4, CLOSE)):
+        out[begin[:, j, None] + np.arange(len(fixed))] = np.frombuffer(fixed, np.uint8)
+    for j, (data, _) in ((1, contents[0]), (3, contents[1])):
+        out[spread_out(begin[:, j], size[:, j])] = data
+    row = np.concatenate([np.zeros(1, np.int64), ends[:, 4]])
+    made = pa.LargeStringArray.from_buffers(n, pa.py_buffer(row), buffer)
+    return made.cast(pa.string()), begin[:, 3] - begin[:, 0], ends[:, 3] - begin[:, 0]
 
 
 def format(conversations: DataFrame) -> DataFrame:
     """One row per turn in order: the formatted turn and the byte range under the loss mask (null: none)."""
+    c.bounded_batches(conversations.sparkSession)
     cols = conversations.selectExpr(f"coalesce(cast(conv_id as long), {c.NO_ID}) conv_id", "turn", "role", "text")
     ordered = cols.repartition(c.partitions(conversations.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def rows(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            sizes = pc.add(pc.fill_null(pc.binary_length(c.column(batch, "text")), 0), pc.fill_null(pc.binary_length(c.column(batch, "role")), 0))
+            for lo, hi in c.slices(np.concatenate([[0], np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64))]), SLICE):
+                part = batch.slice(lo, hi - lo)
                 roles = c.column(part, "role")
                 made, s, e = assemble(roles, c.column(part, "text"))
                 off = ~np.array([r == "assistant" for r in roles.to_pylist()], bool)
