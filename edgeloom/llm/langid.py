@@ -123,8 +123,11 @@ def by_gate(p):
     return inputs, again, p["out"].reshape(2, HIDDEN, -1).copy(), p["bias"]
 
 
-def position_logits(gates, x):
-    """(steps, rows, languages) of x, (steps, rows) bytes: as probabilities(states()), in place and without the states."""
+def position_logits(gates, x, ends):
+    """(steps, rows, languages) of x, (steps, rows) bytes: as probabilities(states()), in place and without the states.
+
+    ends: how many bytes each row has, ascending; the backward states begin there, so that no row's result depends on others.
+    """
     inputs, again, out, _ = gates
     steps, rows = x.shape
     made = np.empty((2, steps, rows, out.shape[2]), np.float32)
@@ -148,6 +151,7 @@ def position_logits(gates, x):
         h -= n
         h *= z
         h += n
+        h[1, : np.searchsorted(ends, steps - 1 - t, "right")] = 0
         np.dot(h[0], out[0], out=made[0, t])
         np.dot(h[1], out[1], out=made[1, steps - 1 - t])
     made[0] += made[1]
@@ -178,11 +182,12 @@ def text_probabilities(p: dict, texts: list[bytes]) -> np.ndarray:
         use = np.zeros(x.shape, np.float32)
         for k, (i, a) in enumerate(part):
             begin = max(0, a - CONTEXT)
-            cut = texts[i][begin : a + width + CONTEXT]
+            cut = texts[i][begin : a + min(width, CHUNK) + CONTEXT]
             at = CONTEXT - (a - begin)
             x[k, at : at + len(cut)] = np.frombuffer(cut, np.uint8)
             use[k, CONTEXT : CONTEXT + min(width, len(texts[i]) - a)] = 1
-        np.add.at(total, [i for i, _ in part], summed(gates, position_logits(gates, x.T), use))
+        ends = np.array([min(CHUNK, len(texts[i]) - a) + 2 * CONTEXT for i, a in part])
+        np.add.at(total, [i for i, _ in part], summed(gates, position_logits(gates, x.T, ends), use))
     return total / np.maximum(1, np.array([len(x) for x in texts]))[:, None]
 
 
