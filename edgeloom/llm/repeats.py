@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import common as c
 from . import tokens as t
 
-BIN_BYTES = 8 << 20
+BIN_BYTES = 4 << 20
 BLOCK = pa.schema([("kind", pa.int32()), ("bin", pa.int32()), ("block", pa.binary())])
 BLOCK_DDL = "kind int, bin int, block binary"
 
