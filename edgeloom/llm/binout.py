@@ -38,7 +38,7 @@ WIDTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 COUNTS = 60 // WIDTHS
 BLOCK_IDS = 1 << 16
 BLOCK = "part int, block long, first long, ids_n long, doc_ids binary, lengths binary, n_words long, words binary, escapes binary"
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 # The steps known to treat the stretches between ASCII spaces apart.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]

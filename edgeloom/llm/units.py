@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-REMEMBERED, LONGEST_REMEMBERED = 300_000, 40
+REMEMBERED, LONGEST_REMEMBERED = 250_000, 40
 
 
 class Store:
