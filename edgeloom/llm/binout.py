@@ -38,7 +38,7 @@ WIDTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 COUNTS = 60 // WIDTHS
 BLOCK_IDS = 1 << 16
 BLOCK = "part int, block long, first long, ids_n long, doc_ids binary, lengths binary, n_words long, words binary, escapes binary"
-SLICE = 1 << 20
+SLICE = 4 << 20
 
 # The steps known to treat the stretches between ASCII spaces apart.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -249,7 +249,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 1, path: str | Non
             names = ["part", "block", "first", "ids_n", "doc_ids", "lengths", "n_words", "words", "escapes"]
             return pa.RecordBatch.from_arrays([pa.array([x], y) for x, y in zip(made, types)], names=names)
 
-        for batch, lo, hi, data, offs in c.text_slices(batches, SLICE):
+        for batch, lo, hi, data, offs in c.text_slices(c.joined(batches, SLICE), SLICE):
             docs_ = c.longs(batch, "doc_id")[lo:hi]
             ids, at = machine.ids_of(data, offs)
             ids = np.insert(ids.astype(np.uint64), at[1:], np.uint64(end_id))

@@ -177,6 +177,19 @@ def slices(offs: np.ndarray, most: int):
         lo = min(hi, n)
 
 
+def joined(batches, most: int):
+    """Neighbouring batches put together until they have that many bytes."""
+    have, size = [], 0
+    for batch in batches:
+        have.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield pa.concat_batches(have)
+            have, size = [], 0
+    if have:
+        yield pa.concat_batches(have)
+
+
 def text_slices(batches, most: int = 1 << 21, text: str = "text"):
     """(batch, lo, hi, bytes, offsets) over Arrow batches, bounded in bytes whatever the batch size."""
     for batch in batches:

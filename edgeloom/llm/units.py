@@ -5,7 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-REMEMBERED, LONGEST_REMEMBERED = 250_000, 40
+from .common import utf8
+
+REMEMBERED, LONGEST_REMEMBERED = 300_000, 40
 
 
 class Store:
@@ -26,14 +28,14 @@ class Store:
             self.old, self.seen = self.seen, {}
         seen, old = self.seen, self.old
         got = list(map(seen.get, units))
+        missed = [i for i, x in enumerate(got) if x is None]
         fresh = []
-        for i, x in enumerate(got):
+        for i in missed:
+            x = old.get(units[i])
             if x is None:
-                x = old.get(units[i])
-                if x is None:
-                    fresh.append(i)
-                else:
-                    got[i] = seen[units[i]] = x
+                fresh.append(i)
+            else:
+                got[i] = seen[units[i]] = x
         for i, made in zip(fresh, self.make([units[i] for i in fresh]) if fresh else ()):
             got[i] = made
             if len(units[i]) <= LONGEST_REMEMBERED:
@@ -52,7 +54,9 @@ def gathered(data: np.ndarray, bounds: np.ndarray, keep: np.ndarray, store: Stor
     n = len(bounds) - 1
     units = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)])
     coded = units.filter(pa.array(keep)).dictionary_encode()
-    made = store.ids(coded.dictionary.to_pylist())
+    raw, at = utf8(coded.dictionary)
+    raw, at = raw.tobytes(), at.tolist()
+    made = store.ids([raw[a:b] for a, b in zip(at, at[1:])])
     size = np.fromiter(map(len, made), np.int64, len(made)) // 4
     flat = np.frombuffer(b"".join(made), "<u4")
     index = coded.indices.to_numpy()
