@@ -46,11 +46,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/edgeloom/{name}-{uuid.uuid4().hex}"
 
 
-def through_table(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors."""
+def through_table(df: DataFrame, name: str, compression: str = "uncompressed") -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    Most tables hold hashes and packed blocks, which a codec makes no smaller; its native buffers stay with the executors.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     made = spark.read.schema(df.schema).parquet(path)
     made.scratch_path = path
     return made
