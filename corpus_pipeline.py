@@ -64,7 +64,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = common.table(spark, sf_dir, "documents").select(*COLUMNS), None
     for name, stage in STAGES:
-        docs = common.through_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = common.through_table(stage(spark, docs, sf_dir), f"pipeline-{name}", "zstd")
         if before is not None:
             common.drop(before)
         before = docs
