@@ -105,8 +105,8 @@ def chosen(edges: DataFrame, n: int, a) -> int:
 def traverse(spark: SparkSession, a, say) -> DataFrame:
     edges, n = files.load(spark, a.input, magic=a.magic.encode())
     edges = edges.persist()
-    is_bfs = a.command == "bfs"
-    run = (lambda e, r: search.bfs_multi(e, r, a.alpha, a.beta)) if is_bfs else (lambda e, r: search.sssp_multi(e, r, a.delta))
+    is_bfs, log = a.command == "bfs", []
+    run = (lambda e, r: search.bfs_multi(e, r, a.alpha, a.beta)) if is_bfs else (lambda e, r: search.sssp_multi(e, r, a.delta, log))
     if a.bench:
         roots = [r["root"] for r in search.sample_roots(edges, a.searches, 42 if a.seed is None else a.seed).collect()]
         done = search.timed(edges, roots, run).persist()
@@ -117,7 +117,7 @@ def traverse(spark: SparkSession, a, say) -> DataFrame:
         show(search.rate_stats(done), say)
         return done
     root = chosen(edges, n, a)
-    one, log = spark.createDataFrame([(root,)], "root long"), []
+    one = spark.createDataFrame([(root,)], "root long")
     began = time.time()
     found = (search.bfs_multi(edges, one, a.alpha, a.beta, log) if is_bfs else run(edges, one)).persist()
     value = "depth" if is_bfs else "dist"
@@ -135,6 +135,7 @@ def traverse(spark: SparkSession, a, say) -> DataFrame:
             for level, size, volume, up in log:
                 say(f"level {level}: {'bottom-up' if up else 'top-down'}, {size} vertices, {volume} edges")
         else:
+            say(f"rounds: {len(log)}, heavy: {sum(kind == 'heavy' for _, kind in log)}")
             for r in stats.quantiles(found, "dist").orderBy("q").collect():
                 say(f"quantile {r['q']}: {r['value']:.6f}")
             for r in stats.histogram_lines(found, "dist").orderBy("bin").collect():

@@ -113,11 +113,12 @@ def timed(edges: DataFrame, roots: list[int], search) -> DataFrame:
     return spark.createDataFrame(rows, "search int, root long, degree long, reached long, traversed long, seconds double, teps double")
 
 
-def sssp_multi(edges: DataFrame, roots: DataFrame, delta: float | None = None) -> DataFrame:
+def sssp_multi(edges: DataFrame, roots: DataFrame, delta: float | None = None, log: list | None = None) -> DataFrame:
     """(root, vertex, dist) over non-negative weights.
 
     Without ``delta`` all improved vertices relax in each round. With it vertices are settled in buckets of that width:
-    edges up to delta until the bucket rests, then the heavier ones once from all vertices of the bucket.
+    edges up to delta until the bucket rests, then the heavier ones once from all vertices of the bucket. ``log`` gets
+    (bucket, light or heavy) of each round. It ends when no vertex is left to relax, so no limit on rounds is needed.
     """
     edges = edges.select("src", "dst", "w").persist()
     state = _cut(roots.selectExpr("root", "root vertex", "cast(0 as double) dist", "true light", "true heavy"))
@@ -128,6 +129,8 @@ def sssp_multi(edges: DataFrame, roots: DataFrame, delta: float | None = None) -
             edges.unpersist()
             return state.select("root", "vertex", "dist")
         kind = "light" if any_light or not delta else "heavy"
+        if log is not None:
+            log.append((least, kind))
         chosen = (bucket == least) & F.col(kind)
         use = edges if not delta else edges.where((F.col("w") <= delta) if kind == "light" else (F.col("w") > delta))
         step = state.where(chosen).select("root", F.col("vertex").alias("src"), "dist").join(use, "src").groupBy("root", F.col("dst").alias("vertex")).agg(F.min(F.col("dist") + F.col("w")).alias("dist"))

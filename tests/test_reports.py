@@ -65,6 +65,15 @@ def test_dense_and_discovery(spark):  # noqa: F811
     assert stats.dense(spark, paths, 5, "sssp").where("vertex = 4").first()["dist"] == float("inf")
 
 
+def test_rounds_of_shortest_paths(spark):  # noqa: F811
+    e = g.post_process(frame(spark, [(0, 1, 0.05), (0, 2, 0.5)]))
+    for delta in (0.01, 0.1, 1.0, 10.0):
+        log = []
+        found = search.sssp_multi(e, spark.createDataFrame([(0,)], "root long"), delta, log)
+        assert {r["vertex"]: r["dist"] for r in found.collect()} == {0: 0.0, 1: 0.05, 2: 0.5}
+        assert [b for b, _ in log] == sorted(b for b, _ in log) and {k for _, k in log} == {"light", "heavy"}
+
+
 def test_ids_beyond_32_bits(spark):  # noqa: F811
     big = 1 << 40
     e = g.post_process(frame(spark, [(big, big + 1, 0.5), (big + 1, big + 7, 0.25)]))
