@@ -20,7 +20,8 @@ def raw(spark, d, most=THIN):
     o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey")
     li = spark.read.parquet(f"{d}/lineitem.parquet")
     li = li if most is None else li.where(F.col("l_quantity") <= most)
-    return o.join(li, F.expr("o_orderkey = l_orderkey")).selectExpr("2*o_custkey AS src", "2*l_partkey+1 AS dst", "l_discount + l_tax + l_quantity/1000 AS w")
+    li = li.selectExpr("l_orderkey", "2*l_partkey+1 AS dst", "l_discount + l_tax + l_quantity/1000 AS w")
+    return o.join(li, F.expr("o_orderkey = l_orderkey")).selectExpr("2*o_custkey AS src", "dst", "w")
 
 
 def edges(spark, d, most=THIN):
@@ -101,8 +102,8 @@ def _tree(s, d, most=THIN):
 
 
 def _searches(s, d, most=THIN):
-    e = edges(s, d, most)
-    return h.searches(e, h.bfs_multi(e, h.sample_roots(e)))
+    with g.dealt(edges(s, d, most), "src", "dst") as e:
+        return h.bfs_searches(e, h.sample_roots(e))
 
 
 def _indptr(s, d, most=THIN):

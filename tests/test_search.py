@@ -135,3 +135,42 @@ def test_ranks_gather_no_list(spark, capsys):
     search.rate_stats(spark.range(100).selectExpr("cast(id as double) teps")).explain()
     plan = capsys.readouterr().out
     assert "collect_list" not in plan and "percentile" not in plan and "median(" not in plan
+
+
+def test_searches_in_words_of_64(spark):
+    rng = np.random.default_rng(3)
+    pairs = [tuple(map(int, p)) for p in rng.integers(0, 150, (220, 2))] + [(1000 + i, 1001 + i) for i in range(19)]
+    out = {}
+    for a, b in pairs + [(b, a) for a, b in pairs]:
+        if a != b:
+            out.setdefault(a, set()).add(b)
+    want, sums = set(), set()
+    for root in out:  # more than two words; the chain has more levels than stay apart
+        depth = {root: 0}
+        queue = [root]
+        for v in queue:
+            for b in out[v] - depth.keys():
+                depth[b] = depth[v] + 1
+                queue.append(b)
+        want |= {(root, v, d) for v, d in depth.items()}
+        sums.add((root, len(out[root]), len(depth), sum(len(out[v]) for v in depth)))
+    e = g.post_process(frame(spark, [(a, b, 1.0) for a, b in pairs]))
+    roots = spark.createDataFrame([(v,) for v in out], "root long")
+    assert len(out) > 128 and max(d for _, _, d in want) > search.COMPACT
+    assert sorted(map(tuple, search.bfs_depths(e, roots).collect())) == sorted(want)
+    assert set(map(tuple, search.bfs_searches(e, roots).collect())) == sums
+    assert search.bfs_depths(e, roots.limit(0)).count() == 0
+
+
+def test_levels_of_a_word_share_an_exchange(spark):
+    e = g.post_process(generate.stochastic(spark, 8))
+    roots = search.sample_roots(e)
+    found, _ = search.bfs_words(e, roots)
+    assert found.count() < search.bfs_multi(e, roots).count() / 8  # a row stands for all searches that arrive together
+
+
+def test_dealt_edges_are_not_exchanged(spark, capsys):
+    with g.dealt(frame(spark, CHAIN), "src", "dst") as e:
+        g.out_degree(e).explain()
+        assert "Exchange" not in capsys.readouterr().out and g.out_degree(e).count() == 3
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("edgeloom_")]
